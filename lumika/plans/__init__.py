@@ -1,0 +1,3 @@
+"""The catalog queries, by family."""
+
+MODULES = ("timeline",)
