@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumika.tables import photo_hashes, table
+from lumika.operators.instants import capture_instants
+from lumika.session import materialize
+from lumika.tables import distinct_by, photo_hashes, table, usable_phash
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +25,69 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_records(photo_hashes(spark, sf_dir)).select(F.col("a").alias("photo_id_a"), F.col("b").alias("photo_id_b"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos with a usable hash, once each, with what their survivor's fields may be taken from."""
+    photo = table(spark, sf_dir, "photo")
+    root = F.concat(F.lit("scan:"), F.regexp_extract("path", r"^/[^/]+/[^/]+", 0))
+    columns = [
+        F.col("id"), usable_phash().alias("h"), F.coalesce("imported_from", root).alias("source"),
+        F.when(F.col("size_bytes") > 0, F.col("size_bytes")).alias("size_bytes"), F.when(F.col("width") > 0, F.col("width")).alias("width"),
+        F.when(F.col("aesthetic").between(1, 10), F.col("aesthetic")).alias("aesthetic"), F.try_to_timestamp("indexed_at").alias("indexed"), "caption",
+    ]
+    rows = photo.select(*columns).where("id is not null and h is not null").dropDuplicates(["id"])
+    taken = capture_instants(photo).select(F.col("photo_id").alias("id"), F.col("micros").alias("captured_at"))
+    return materialize(rows.join(taken, "id", "left"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each group of copies and each field, the copy that supplies the value."""
+    from lumika.llm.survivors import survivors
+
+    # a copy without indexing time still offers its score, after those that have one
+    indexed = F.coalesce(F.unix_micros("indexed"), F.lit(-(2**62)))
+    rules = {
+        "size_bytes": (F.col("size_bytes"), F.col("size_bytes")),
+        "width": (F.col("width"), F.col("width")),
+        "aesthetic": (F.col("aesthetic"), indexed),
+        "captured_at": (F.col("captured_at"), -F.col("captured_at")),
+    }
+    return survivors(_copies(spark, sf_dir), rules).select("group_id", "field_name", "photo_id")
+
+
+def p2_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of each group's fields that the source quality model judges true; captions may keep several."""
+    from lumika.llm.survivors import true_values
+
+    copies = _copies(spark, sf_dir)
+    groups = copies.groupBy("h").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n >= 2").select("h", "group_id")
+    fields = [F.struct(F.lit(n).alias("field_name"), F.col(n).cast("string").alias("value")) for n in ("size_bytes", "width", "aesthetic", "captured_at", "caption")]
+    claims = materialize(copies.join(groups, "h").select("group_id", "source", F.explode(F.array(*fields)).alias("f")).select("group_id", "source", "f.*"))
+    return true_values(claims, claims.select("group_id", "source"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document once with the ids of its text."""
+    from lumika.llm.bpe import encode
+
+    return encode(distinct_by(table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text"), "doc_id"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least twelve successive words of a test item."""
+    from lumika.llm.leaks import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), 12).where("longest_tile >= 12").select("doc_id", "item_id")
+
+
+def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a test item's words in tiles of at least six, in whatever order."""
+    from lumika.llm.leaks import leaks
+
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), 6)
+    return found.where(F.col("shared_words") * 2 >= F.col("item_words"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage}
 _HASHES = "h as (select distinct id, ('0x' || trim(phash, ' ' || chr(9) || chr(10) || chr(13)))::ubigint as h from photo where regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '[0-9a-fA-F]{16}') and not regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '0{16}'))"
 SQL = {
     "p3_found": f"""
