@@ -55,13 +55,6 @@ def spanning_forest(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
         label = parent[label]
 
 
-def _payload(column: pa.Array, width: int) -> np.ndarray:
-    """A binary column of `width` bytes a row as a matrix of 64-bit words."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    raw = b"".join(column.to_pylist()) if len(column) else b""
-    return np.frombuffer(raw, np.uint64).reshape(-1, width // 8)
-
-
 def _within(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, pay: np.ndarray, check: Check, forest: bool) -> Iterator[tuple]:
     """Pairs of every run; runs of one length go through the check together."""
     for size in np.unique(sizes[sizes > 1]):
@@ -85,18 +78,22 @@ def _pairs_batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(low), pa.array(high), pa.array(d.astype(np.int32))], names=names)
 
 
-def bucket_pairs(rows: DataFrame, width: int, check: Check, forest: bool, block: int = BLOCK) -> DataFrame:
+def bucket_pairs(rows: DataFrame, pay: list[str], check: Check, forest: bool, block: int = BLOCK) -> DataFrame:
     """(a, b, d): pairs of ids, a < b, that share a key and pass `check`, with their distance; a pair may come several times.
 
-    `rows` has key long, id long, pay binary of `width` bytes. With `forest` a bucket gives a minimum spanning forest of
+    `rows` has key long, id long and the payload columns `pay`, all long; none is null. With `forest` a bucket gives a minimum spanning forest of
     its passing pairs instead of all of them, which keeps every connection and stays linear in the bucket's size.
-    A key is never null; rows of one id in one bucket are compared too, and `check` has to reject them.
+    Rows of one id in one bucket are compared too; `check` has to reject them. An empty input gives an empty result.
     """
-    spark = rows.sparkSession
+    spark, width = rows.sparkSession, len(pay)
+
+    def words(batch: pa.RecordBatch) -> np.ndarray:
+        columns = [batch.column(2 + i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(width)]
+        return np.stack(columns, axis=1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "ids", "pays", "a", "b", "d"]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32()]
 
         def emit(found: list[tuple], blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
             if blocks:
@@ -107,40 +104,40 @@ def bucket_pairs(rows: DataFrame, width: int, check: Check, forest: bool, block:
                 p = _pairs_batch(found, ["a", "b", "d"])
                 yield pa.record_batch([pa.nulls(len(p), k) for k in kinds[:3]] + p.columns, names=names)
 
-        def cut(key: int, ids: np.ndarray, pay: np.ndarray) -> list[tuple]:
-            return [(int(key), ids[s : s + block], pay[s : s + block].tobytes()) for s in range(0, len(ids), block)]
+        def cut(key: int, ids: np.ndarray, load: np.ndarray) -> list[tuple]:
+            return [(int(key), ids[s : s + block], load[s : s + block].view(np.int64).ravel()) for s in range(0, len(ids), block)]
 
-        keys, ids, pay = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width // 8), np.uint64)
+        keys, ids, load = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint64)
         shared: set[int] = set()  # the first key, which another task may hold too, and keys cut into blocks
         for batch in batches:
             if len(batch) == 0:
                 continue
             keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
             ids = np.concatenate([ids, batch.column(1).to_numpy(zero_copy_only=False)])
-            pay = np.concatenate([pay, _payload(batch.column(2), width)])
+            load = np.concatenate([load, words(batch)])
             shared = shared or {int(keys[0])}
             heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[heads, len(keys)])
             inner = ~np.isin(keys[heads], list(shared)) & (sizes <= block)
             inner[-1] = False  # the last run may go on in the next batch
             outer = ~inner[:-1]
-            blocks = [x for h, s in zip(heads[:-1][outer], sizes[:-1][outer]) for x in cut(keys[h], ids[h : h + s], pay[h : h + s])]
+            blocks = [x for h, s in zip(heads[:-1][outer], sizes[:-1][outer]) for x in cut(keys[h], ids[h : h + s], load[h : h + s])]
             rest = heads[-1]
             if (whole := sizes[-1] // block * block) > 0:  # a long run leaves in whole blocks as it comes
-                blocks += cut(keys[rest], ids[rest : rest + whole], pay[rest : rest + whole])
+                blocks += cut(keys[rest], ids[rest : rest + whole], load[rest : rest + whole])
                 shared = {*shared, int(keys[rest])}
                 rest += whole
-            yield from emit(list(_within(heads[inner], sizes[inner], ids, pay, check, forest)), blocks)
-            keys, ids, pay = keys[rest:], ids[rest:], pay[rest:]
+            yield from emit(list(_within(heads[inner], sizes[inner], ids, load, check, forest)), blocks)
+            keys, ids, load = keys[rest:], ids[rest:], load[rest:]
         if len(keys):
-            yield from emit([], cut(keys[0], ids, pay))
+            yield from emit([], cut(keys[0], ids, load))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for left, lp, right, rp, same in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 x, y = np.array(left, np.int64), np.array(right, np.int64)
-                p, q = np.frombuffer(lp, np.uint64).reshape(len(x), -1), np.frombuffer(rp, np.uint64).reshape(len(y), -1)
+                p, q = np.array(lp, np.int64).view(np.uint64).reshape(len(x), -1), np.array(rp, np.int64).view(np.uint64).reshape(len(y), -1)
                 if same:
                     found += list(_within(np.array([0]), np.array([len(x)]), x, p, check, forest))
                     continue
@@ -156,8 +153,8 @@ def bucket_pairs(rows: DataFrame, width: int, check: Check, forest: bool, block:
                 yield _pairs_batch(found, ["a", "b", "d"])
 
     n = shuffle_width(spark)
-    ordered = rows.select("key", "id", "pay").repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-    out = materialize(ordered.mapInArrow(scan, "key long, ids array<long>, pays binary, a long, b long, d int"))
+    ordered = rows.select("key", "id", *pay).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
+    out = materialize(ordered.mapInArrow(scan, "key long, ids array<long>, pays array<long>, a long, b long, d int"))
     inside = out.where("a is not null").select("a", "b", "d")
     blocks = out.where("key is not null").select("key", F.monotonically_increasing_id().alias("block"), "ids", "pays")
     blocks = materialize(blocks)
