@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumika.operators.instants import capture_instants
 from lumika.session import materialize
-from lumika.tables import distinct_by, photo_hashes, table, usable_phash
+from lumika.tables import FACE_DIM, PHOTO_DIM, distinct_by, photo_hashes, table, usable_phash
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(matches, photo_hashes(spark, sf_dir)).select(F.col("id").alias("photo_id"), "group_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of similar photos and of similar faces, one among the five most similar of the other."""
+    from lumika.llm.neighbours import neighbour_pairs
+
+    photos = neighbour_pairs(table(spark, sf_dir, "photo_embedding"), "photo_id", table(spark, sf_dir, "photo").select("id"), PHOTO_DIM)
+    faces = neighbour_pairs(table(spark, sf_dir, "face_embedding"), "face_id", table(spark, sf_dir, "face_detection").select("id"), FACE_DIM)
+    both = photos.select(F.lit("photo").alias("kind"), "a", "b").unionByName(faces.select(F.lit("face").alias("kind"), "a", "b"))
+    return both.select("kind", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of photos whose usable hashes differ in at most five bits."""
     from lumika.llm.near_hashes import near_records
@@ -39,6 +49,14 @@ def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(rows.join(taken, "id", "left"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces in groups of at least two, each with its group's smallest id."""
+    from lumika.llm.face_groups import face_groups
+
+    known = table(spark, sf_dir, "face_detection").select("id")
+    return face_groups(table(spark, sf_dir, "face_embedding"), "face_id", known, FACE_DIM).select(F.col("id").alias("face_id"), "group_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each group of copies and each field, the copy that supplies the value."""
     from lumika.llm.survivors import survivors
@@ -87,7 +105,7 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("shared_words") * 2 >= F.col("item_words"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage}
 _HASHES = "h as (select distinct id, ('0x' || trim(phash, ' ' || chr(9) || chr(10) || chr(13)))::ubigint as h from photo where regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '[0-9a-fA-F]{16}') and not regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '0{16}'))"
 SQL = {
     "p3_found": f"""
