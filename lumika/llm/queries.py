@@ -105,7 +105,14 @@ def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("shared_words") * 2 >= F.col("item_words"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of each prose document."""
+    from lumika.llm.reading import reading_levels
+
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
 _HASHES = "h as (select distinct id, ('0x' || trim(phash, ' ' || chr(9) || chr(10) || chr(13)))::ubigint as h from photo where regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '[0-9a-fA-F]{16}') and not regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '0{16}'))"
 SQL = {
     "p3_found": f"""
