@@ -164,4 +164,5 @@ def bucket_pairs(rows: DataFrame, pay: list[str], check: Check, forest: bool, bl
     left = blocks.withColumn("salt", F.pmod("block", F.lit(salts)))
     right = right.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
     meet = left.join(right, ["key", "salt"]).where("block <= other").select("ids", "pays", "ids2", "pays2", (F.col("block") == F.col("other")).alias("same"))
-    return inside.unionByName(meet.mapInArrow(cross, "a long, b long, d int"))
+    # a row holds two blocks, so batches are kept to a few of them
+    return inside.unionByName(materialize(meet.mapInArrow(cross, "a long, b long, d int"), arrow_rows=64))

@@ -49,11 +49,23 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[context.applicationId]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: lineage ends there and survives lost executors.
+
+    `arrow_rows` bounds the rows of an Arrow batch while `df` is computed, for plans that hand wide rows to Python.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        if arrow_rows:
+            spark.conf.set(ARROW_ROWS, str(min(arrow_rows, int(before)) if int(before) > 0 else arrow_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._lumika_path = path
     return back
