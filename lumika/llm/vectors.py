@@ -27,7 +27,7 @@ from lumika.session import materialize
 SHORT, LONG = 4, 16  # 64-bit words of the short and the long sketch
 CELL = 256
 FILTER_BITS = 26
-_SLICE = 2048
+_SLICE = 1024
 
 
 def hadamard(n: int) -> np.ndarray:
@@ -227,7 +227,7 @@ def in_cells(members: DataFrame, dim: int, compare: Callable, schema: str) -> Da
                 yield out(compare(i, x, j, y, same))
 
     one = members.where("blocks = 1").select("cell", "id", "v").repartition("cell").sortWithinPartitions("cell")
-    result = one.mapInArrow(small, schema)
+    result = materialize(one.mapInArrow(small, schema), arrow_rows=_SLICE)
     big = members.where("blocks > 1")
     if big.limit(1).count() == 0:
         return result
@@ -237,4 +237,4 @@ def in_cells(members: DataFrame, dim: int, compare: Callable, schema: str) -> Da
     right = blocks.select("cell", F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])).alias("salt"))
     meet = left.join(right, ["cell", "salt"]).where("block <= block2")
     meet = meet.select("ids", "vs", "ids2", "vs2", (F.col("block") == F.col("block2")).alias("same"))
-    return result.unionByName(meet.mapInArrow(large, schema))
+    return result.unionByName(materialize(meet.mapInArrow(large, schema), arrow_rows=4))
