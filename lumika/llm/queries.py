@@ -18,6 +18,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(matches, photo_hashes(spark, sf_dir)).select(F.col("id").alias("photo_id"), "group_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos and imported files that record the same picture."""
+    from lumika.llm.linkage import link
+
+    return link(table(spark, sf_dir, "photo"), table(spark, sf_dir, "import_files")).select("photo_id", "file_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similar photos and of similar faces, one among the five most similar of the other."""
     from lumika.llm.neighbours import neighbour_pairs
@@ -112,7 +119,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
 _HASHES = "h as (select distinct id, ('0x' || trim(phash, ' ' || chr(9) || chr(10) || chr(13)))::ubigint as h from photo where regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '[0-9a-fA-F]{16}') and not regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '0{16}'))"
 SQL = {
     "p3_found": f"""
