@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumika.functions.vectors import clean, unit
 from lumika.operators.buckets import bucket_pairs
 from lumika.operators.components import connected_components
 from lumika.session import materialize
@@ -57,24 +58,6 @@ class Rotation:
         return z
 
 
-def clean(column: pa.Array, ids: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of the usable rows of a list column."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    ids = np.array(ids.to_numpy(zero_copy_only=False), float) if ids.null_count else ids.to_numpy(zero_copy_only=False)
-    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    fine = np.flatnonzero((sizes == dim) & ~np.isnan(ids.astype(float)))
-    flat = column.take(pa.array(fine)).flatten().to_numpy(zero_copy_only=False)
-    x = np.asarray(flat, np.float32).reshape(-1, dim)
-    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-    return ids[fine][good].astype(np.int64), np.ascontiguousarray(x[good])
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow on the way to the norm
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def sign_words(z: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(z[:, : words * 64] > 0, axis=1, bitorder="little").view(np.int64)
 
