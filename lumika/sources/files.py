@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The file name extensions that count as pictures.
-EXTENSIONS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".webp", ".heic", ".heif", ".dng", ".cr2", ".cr3", ".nef", ".arw", ".raf", ".orf", ".rw2", ".bmp")
+EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".tif", ".tiff", ".heic", ".heif", ".avif", ".cr2", ".cr3", ".nef", ".arw", ".raf", ".dng", ".rw2", ".orf")
 HEAD = 65536
 
 
