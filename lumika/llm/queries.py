@@ -132,4 +132,10 @@ SQL = {
     "p6_found": f"""
         with {_HASHES}
         select a.id as photo_id_a, b.id as photo_id_b from h a join h b on a.id < b.id where bit_count(xor(a.h, b.h)) <= 5""",
+    "p9_found": """
+        with d as (select distinct doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+        i as (select distinct item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_item where text is not null),
+        g as (select distinct item_id, array_to_string(w[k:k + 11], ' ') as gram from i, range(1, 5000) t(k) where k + 11 <= len(w)),
+        h as (select doc_id, array_to_string(w[k:k + 11], ' ') as gram from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12))
+        select distinct h.doc_id, g.item_id from h join g on g.gram = h.gram""",
 }

@@ -62,6 +62,13 @@ def sign_words(z: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(z[:, : words * 64] > 0, axis=1, bitorder="little").view(np.int64)
 
 
+def signs(dim: int, words: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Signs of as many pseudo-rotated coordinates as fill `words` words."""
+    n = Rotation(dim, seed).n
+    rotations = [Rotation(dim, seed + i) for i in range(-(-words * 64 // n))]
+    return lambda x: sign_words(np.concatenate([r(x) for r in rotations], axis=1), words)
+
+
 def sketch(vectors: DataFrame, key: str, dim: int, long_words: Callable[[np.ndarray], np.ndarray], codes: Callable[[np.ndarray], np.ndarray], code_count: int) -> DataFrame:
     """(id, f0, f1, p0.., s0.., codes): fingerprints of the exact values, short and long sketch, codes of each usable vector."""
     names = ["id", "f0", "f1", *(f"p{i}" for i in range(SHORT)), *(f"s{i}" for i in range(LONG)), "codes"]
@@ -69,7 +76,7 @@ def sketch(vectors: DataFrame, key: str, dim: int, long_words: Callable[[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        short = Rotation(dim, 11)
+        short = signs(dim, SHORT, 11)
         for batch in batches:
             for at in range(0, len(batch), _SLICE):
                 part = batch.slice(at, _SLICE)
@@ -79,7 +86,7 @@ def sketch(vectors: DataFrame, key: str, dim: int, long_words: Callable[[np.ndar
                 raw = [v.tobytes() for v in x]
                 prints = np.array([[xxhash.xxh64_intdigest(v, 1), xxhash.xxh64_intdigest(v, 2)] for v in raw], np.uint64).view(np.int64)
                 x = unit(x).astype(np.float32)
-                columns = [ids, *prints.T, *sign_words(short(x), SHORT).T, *long_words(x).T]
+                columns = [ids, *prints.T, *short(x).T, *long_words(x).T]
                 c = codes(x).astype(np.int16)
                 yield pa.record_batch([pa.array(np.ascontiguousarray(v)) for v in columns] + [pa.array([v.tobytes() for v in c], pa.binary())], names=names)
 
