@@ -32,5 +32,5 @@ def unscored(photo: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def rating(aesthetic: Column) -> Column:
-    """0 to 5 stars: half the score, rounded half to even."""
-    return F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.rint(aesthetic / 2))).cast("int")
+    """0 to 5 stars: half the score, rounded half to even; none without a score."""
+    return F.when(aesthetic.isNotNull(), F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.rint(aesthetic / 2)))).cast("int")

@@ -187,7 +187,8 @@ def exif_tags(exif: Column, tags: dict[str, str]) -> dict[str, Column]:
     """Tags of a JSON text, by our name; all null where the text is not one valid JSON object."""
     schema = ", ".join(f"`{tag}`: string" for tag in tags.values())
     parsed = F.from_json(exif, f"struct<{schema}>", {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
-    whole = F.when(F.try_parse_json(exif).isNotNull(), parsed)
+    # within brackets nothing may follow the object
+    whole = F.when(F.try_parse_json(F.concat(F.lit("["), exif, F.lit("]"))).isNotNull(), parsed)
     return {name: whole[tag] for name, tag in tags.items()}
 
 

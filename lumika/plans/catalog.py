@@ -174,7 +174,7 @@ SQL = {
     "aesthetic_score": f"""with {_P}, {_V}, {_C}, a as {_MEAN.format(low=0, high=2)}, b as {_MEAN.format(low=3, high=5)},
         g as (select list_transform(list_zip(a.e, b.e), lambda z: z[1] / (sqrt(list_inner_product(a.e, a.e)) + 1e-12) - z[2] / (sqrt(list_inner_product(b.e, b.e)) + 1e-12)) as e from a, b)
         select v.photo_id, round(greatest(1, least(10, 5.5 + 30 * list_inner_product(v.e, g.e))), 4) as aesthetic from v, g where v.photo_id in (select id from p where aesthetic is null)""",
-    "sidecar_rating": f"with {_P} select id, least(5, greatest(0, round_even(aesthetic / 2, 0)))::int as rating from p",
+    "sidecar_rating": f"with {_P} select id, case when aesthetic is not null then least(5, greatest(0, round_even(aesthetic / 2, 0))) end::int as rating from p",
     "auto_tag_topk": f"""with {_V}, {_C}, s as (select v.photo_id, [{', '.join(repr(x[2:]) for x in LAYMEN)}][c.i + 1] as label, list_inner_product(v.e, c.e) as s from v, c),
         r as (select *, row_number() over (partition by photo_id order by s desc, label) as rn from s where s >= 0.02) select photo_id, label, round(s, 5) as score from r where rn <= 5""",
     "top_labels": "with t as (select distinct * from photo_tag_auto) select label, count(*) as n from t group by 1 order by n desc, label limit 30",
