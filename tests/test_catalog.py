@@ -218,7 +218,7 @@ def test_files_and_hooks(spark, tmp_path):
     assert got["a.png"] is None and np.linalg.norm(got["b c.JPG"]) == pytest.approx(1)
     face = {"corners": (1, 2, 11, 22), "score": 0.9, "embedding": [1.0]}
     rows = hooks.detect_faces(f, lambda: lambda content: [face, face]).collect()
-    assert [(r["x"], r["y"], r["w"], r["h"]) for r in rows] == [(1, 2, 10, 20)] * 2
+    assert [(r["x"], r["y"], r["w"], r["h"]) for r in rows] == [(1, 2, 10, 20)] * 4
     gray = np.add.outer(np.arange(64), np.arange(80)).astype(float)
     assert len(hooks.perceptual_hash(gray)) == 16 and hooks.perceptual_hash(gray) == hooks.perceptual_hash(gray * 2)
 
