@@ -42,6 +42,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_records(photo_hashes(spark, sf_dir)).select(F.col("a").alias("photo_id_a"), F.col("b").alias("photo_id_b"))
 
 
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of faces as clusters, loose ones split, each with its size and most typical faces."""
+    from lumika.llm.face_groups import face_clusters
+
+    known = table(spark, sf_dir, "face_detection").select("id")
+    return face_clusters(table(spark, sf_dir, "face_embedding"), "face_id", known, FACE_DIM)
+
+
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Photos with a usable hash, once each, with what their survivor's fields may be taken from."""
     photo = table(spark, sf_dir, "photo")
@@ -119,7 +127,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
 _HASHES = "h as (select distinct id, ('0x' || trim(phash, ' ' || chr(9) || chr(10) || chr(13)))::ubigint as h from photo where regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '[0-9a-fA-F]{16}') and not regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '0{16}'))"
 SQL = {
     "p3_found": f"""

@@ -143,7 +143,7 @@ def _planes(x: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4).T).tobytes() for v in x]
 
 
-def _vectors(packed: list[bytes], dim: int) -> np.ndarray:
+def unpack(packed: list[bytes], dim: int) -> np.ndarray:
     flat = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), 4, dim)
     return np.ascontiguousarray(flat.transpose(0, 2, 1)).view(np.float32).reshape(len(packed), dim)
 
@@ -178,7 +178,7 @@ def in_cells(members: DataFrame, dim: int, compare: Callable, schema: str) -> Da
 
     def of(ids: list[int], packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         own, first = np.unique(np.array(ids, np.int64), return_index=True)
-        return own, unit(_vectors([packed[i] for i in first], dim))
+        return own, unit(unpack([packed[i] for i in first], dim))
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c) for c in columns], names=names)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumika.llm import near_hashes as nh
 from lumika.llm.bpe import PairTable
-from lumika.llm.face_groups import face_groups
+from lumika.llm.face_groups import face_clusters, face_groups
 from lumika.llm.matches import match_groups
 from lumika.llm.neighbours import neighbour_pairs
 
@@ -81,6 +81,23 @@ def test_a_group_larger_than_a_cell_and_many_copies(spark):
     assert len(got) == len(x) and {row["group_id"] for row in got} == {1}
 
 
+def test_loose_groups_are_split_around_medoids(spark):
+    r = np.random.default_rng(6)
+    a, b, c = np.linalg.qr(r.standard_normal((DIM, 3)))[0].T
+    turn = np.deg2rad(40)  # neighbours on the chain have a cosine of 0.77, others of less than 0.6
+    chain = [np.cos(k * turn) * a + np.sin(k * turn) * b for k in range(5)]
+    ball = [c + 0.01 * r.standard_normal(DIM) for _ in range(4)]
+    x = np.array(chain + ball + ball[:1], np.float32)
+    vectors, known = frame(spark, x, odd=False)
+    got = {row["cluster_id"]: row for row in face_clusters(vectors, "face_id", known, DIM).collect()}
+    ids = [3 * i + 1 for i in range(len(x))]
+    assert sum(row["size"] for row in got.values()) == len(x)
+    whole = got[ids[5]]
+    assert whole["size"] == 5 and whole["group_id"] == ids[5] and len(whole["typical"]) == 3
+    parts = [row for row in got.values() if row["group_id"] == ids[0]]
+    assert len(parts) == 2 and {row["medoid_id"] for row in parts} <= set(ids[:5]) and sorted(row["size"] for row in parts) == [2, 3]
+
+
 def test_empty_vectors(spark):
     vectors, known = frame(spark, np.zeros((0, DIM), np.float32), odd=False)
     assert face_groups(vectors, "face_id", known, DIM).count() == 0
