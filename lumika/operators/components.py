@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumika.session import materialize, release
 
 HOT_KEY = 200_000
+#: Once no more than so many edges are left, 16 bytes each, one task finishes them.
+FINISH = 500_000
 
 
 def lookup(df: DataFrame, key: str, table: DataFrame, node: str, value: str, rows: int, hot: int = HOT_KEY) -> DataFrame:
@@ -41,12 +47,55 @@ def _jump(parents: DataFrame) -> DataFrame:
             return parents
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def local_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest node linked to each of the nodes 0..n-1 by the edges (i, j)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _finished(live: DataFrame) -> DataFrame:
+    """(node, parent) of the nodes that aren't their component's smallest, by one task that gets all, few, edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+        if parts:
+            hi, lo = (np.concatenate(x) for x in zip(*parts))
+            nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+            label = local_labels(len(nodes), at[: len(hi)], at[len(hi) :])
+            moved = label != np.arange(len(nodes))
+            yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["node", "parent"])
+
+    return live.select("hi", "lo").coalesce(1).mapInArrow(run, "node long, parent long")
+
+
+def _composed(live: DataFrame, labels: DataFrame | None, parents: DataFrame) -> DataFrame:
+    """Labels after a round that moved nodes to the roots in `parents`."""
+    if labels is None:
+        nodes = live.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
+        new = nodes.join(parents.select("node", "parent"), "node", "left").select("node", F.coalesce("parent", "node").alias("component"))
+    else:
+        up = parents.select(F.col("node").alias("component"), "parent")
+        new = labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+    return materialize(new)
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", finish: int = FINISH) -> DataFrame:
     """(node, component): every node of an edge with the smallest node it is linked to, directly or through others.
 
     Each round every node takes the smallest label among its neighbours, pointer jumping flattens the resulting trees,
     and the edges are rewritten to the trees' roots; this goes on until no label changes, which takes a number of
-    rounds logarithmic in the number of nodes whatever the diameter. Every round ends in a written table.
+    rounds logarithmic in the number of nodes whatever the diameter. Every round ends in a written table. When at most
+    `finish` edges are left, which are few enough for any executor, one task does the rest; 0 keeps all rounds distributed.
 
     Nulls, self-loops and repeated edges are ignored; an empty input gives an empty result.
     """
@@ -55,19 +104,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     live = materialize(pairs.where("ok").select("hi", "lo").distinct())
     labels = None
     while (rows := live.count()) > 0:
+        if rows <= finish:
+            parents = materialize(_finished(live))
+            labels, old = _composed(live, labels, parents), labels
+            for table in (live, old, parents):
+                release(table)
+            return labels
         parents = _jump(materialize(live.groupBy("hi").agg(F.min("lo").alias("parent")).select(F.col("hi").alias("node"), "parent")))
         ends = lookup(live, "hi", parents.withColumnRenamed("parent", "up"), "node", "up", rows)
         ends = ends.select(F.coalesce("up", "hi").alias("hi"), "lo")
         ends = lookup(ends, "lo", parents.withColumnRenamed("parent", "up"), "node", "up", rows)
         ends = ends.select("hi", F.coalesce("up", "lo").alias("lo")).where("hi <> lo")
         after = materialize(ends.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
-        if labels is None:
-            roots = live.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
-            new = roots.join(parents.select("node", "parent"), "node", "left").select("node", F.coalesce("parent", "node").alias("component"))
-        else:
-            up = parents.select(F.col("node").alias("component"), "parent")
-            new = labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        new = materialize(new)
+        new = _composed(live, labels, parents)
         for old in (live, labels, parents):
             release(old)
         live, labels = after, new

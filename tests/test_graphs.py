@@ -26,12 +26,13 @@ def brute(edges):
     return {x: find(x) for x in label}
 
 
-def components(spark, edges):
+def components(spark, edges, finish):
     df = spark.createDataFrame(edges, "src long, dst long")
-    return {r["node"]: r["component"] for r in connected_components(df).collect()}
+    return {r["node"]: r["component"] for r in connected_components(df, finish=finish).collect()}
 
 
-def test_components_of_chains_stars_and_random_graphs(spark):
+@pytest.mark.parametrize("finish", [0, 60, 10**6])
+def test_components_of_chains_stars_and_random_graphs(spark, finish):
     r = random.Random(2)
     chain = [(i, i + 1) for i in range(100, 160)]
     r.shuffle(chain)
@@ -39,7 +40,7 @@ def test_components_of_chains_stars_and_random_graphs(spark):
     other = [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(70)]
     zigzag = [(2000 + i, 2100 - i) for i in range(20)] + [(2001 + i, 2100 - i) for i in range(20)]
     edges = [(a, b) for a, b in chain + star + other + zigzag if a != b]
-    assert components(spark, edges + edges[:9] + [(b, a) for a, b in edges[:9]]) == brute(edges)
+    assert components(spark, edges + edges[:9] + [(b, a) for a, b in edges[:9]], finish) == brute(edges)
 
 
 def test_components_ignore_nulls_and_loops(spark):
