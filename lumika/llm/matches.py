@@ -24,4 +24,5 @@ def match_groups(matches: DataFrame, hashes: DataFrame, t: int = 5) -> DataFrame
     Rows with a null side, pairs of a record with itself and pairs of unknown records are ignored; reversed and repeated
     pairs count once; without any pair the result is empty. `hashes` has each id once.
     """
-    return connected_components(borne_out(matches, hashes, t), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+    found = connected_components(borne_out(matches, hashes, t), "a", "b", finish=0)
+    return found.select(F.col("node").alias("id"), F.col("component").alias("group_id"))
