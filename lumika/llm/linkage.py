@@ -64,32 +64,49 @@ def file_evidence(files: DataFrame) -> DataFrame:
     return materialize(rows.select("id", "core", "digest", "h", "size", "w", "ht", F.floor(F.col("e.local") / MICROS).alias("t1"), F.lit(None).cast("long").alias("t2")))
 
 
-def _keys(df: DataFrame, spread: bool) -> DataFrame:
-    """(key, id): a record's blocking keys: its digest, its hash's quarters, and any two of name, size and time.
+def _named_keys(df: DataFrame) -> DataFrame:
+    """(key, id): blocking keys of a record's name with its size or time, and of size and time."""
+    tag = lambda name, *parts: F.xxhash64(F.lit(name), *parts)
+    both = lambda name, a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), tag(name, a, b))
+    df = df.withColumn("core", F.when(F.length("core") >= 4, F.col("core")))
+    keys = [both("core size", "core", "size")] + [both(f"{x} t", x, t) for x in ("core", "size") for t in ("t1", "t2")]
+    return df.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+
+
+def leads(records: DataFrame) -> DataFrame:
+    """Of records alike in all but their names the one with the smallest id.
+
+    However many copies a picture has, its digest and its hash lead to one record of each kind; a copy whose name tells
+    more is found by its name.
+    """
+    kind = [c for c in records.columns if c not in ("id", "core")]
+    first = records.groupBy(*kind).agg(F.min(F.struct("id", "core")).alias("first"))
+    return first.select(*kind, "first.id", "first.core")
+
+
+def _picture_keys(df: DataFrame, spread: bool) -> DataFrame:
+    """(key, id): blocking keys of a record's digest and of the quarters of its hash.
 
     Hashes within NEAR_BITS bits agree in one of four quarters but for at most one bit, so one side's quarters are also
     given with each single bit changed.
     """
     tag = lambda name, *parts: F.xxhash64(F.lit(name), *parts)
-    both = lambda name, a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), tag(name, a, b))
-    df = df.withColumn("core", F.when(F.length("core") >= 4, F.col("core")))
-    exact = [F.when(F.col("digest").isNotNull(), tag("digest", F.substring("digest", 1, 16))), both("core size", "core", "size")]
-    times = ["t1", "t2"]
-    exact += [both(f"{x} t", x, t) for x in ("core", "size") for t in times]
+    digest = F.when(F.col("digest").isNotNull(), tag("digest", F.substring("digest", 1, 16)))
     quarters = []
     for i in range(4):
         value = chunk_value(F.col("h"), 16 * i, 16)
         near = F.array(value, *[value.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(16)]) if spread else F.array(value)
         quarters.append(F.transform(near, lambda v, i=i: F.when(F.col("h").isNotNull(), tag("hash", F.lit(i), v))))
-    keys = F.array_distinct(F.array_compact(F.concat(F.array(*exact), *quarters)))
+    keys = F.array_distinct(F.array_compact(F.concat(F.array(digest), *quarters)))
     return df.select("id", F.explode(keys).alias("key"))
 
 
 def candidate_pairs(photos: DataFrame, files: DataFrame) -> DataFrame:
     """(photo_id, file_id, features): pairs that share a blocking key, with the similarity of each attribute; UNKNOWN where a side lacks it."""
     p, f = photos.select(*[F.col(c).alias(f"p_{c}") for c in photos.columns]), files.select(*[F.col(c).alias(f"f_{c}") for c in files.columns])
-    left = _keys(photos, False).withColumnRenamed("id", "p_id").join(photos.select(F.col("id").alias("p_id"), F.col("h").alias("ph"), F.substring("digest", 1, 16).alias("pd")), "p_id")
-    right = _keys(files, True).withColumnRenamed("id", "f_id").join(files.select(F.col("id").alias("f_id"), F.col("h").alias("fh"), F.substring("digest", 1, 16).alias("fd")), "f_id")
+    first = leads(photos)
+    left = _picture_keys(first, False).unionByName(_named_keys(photos)).withColumnRenamed("id", "p_id").join(photos.select(F.col("id").alias("p_id"), F.col("h").alias("ph"), F.substring("digest", 1, 16).alias("pd")), "p_id")
+    right = _picture_keys(files, True).unionByName(_named_keys(files)).withColumnRenamed("id", "f_id").join(files.select(F.col("id").alias("f_id"), F.col("h").alias("fh"), F.substring("digest", 1, 16).alias("fd")), "f_id")
     apart = hamming(F.col("ph"), F.col("fh"))
     # a shared quarter alone is no reason to look closer: the hashes must be near, unless they are missing or the digests agree
     shared = left.join(right, "key").where((apart <= NEAR_BITS) | apart.isNull() | (F.col("pd") == F.col("fd"))).select("p_id", "f_id").distinct()
