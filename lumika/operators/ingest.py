@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumika.operators.instants import exif_tags
+
 VERSION = 1
 MOST_TAGS, LONGEST_TAG = 12, 40
 
@@ -47,6 +49,13 @@ def missing_embedding(photo: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.where(F.col("photo_id").isNull() | (F.coalesce("embedding_ver", F.lit(0)) < VERSION)).select("id", "path").orderBy("id")
 
 
+def exif_captured(exif: Column) -> Column:
+    """Capture time of an EXIF text as a scan records it: DateTimeOriginal or else Image DateTime, in one notation, tagged UTC."""
+    tags = exif_tags(exif, {"taken": "EXIF DateTimeOriginal", "changed": "Image DateTime"})
+    text = F.coalesce(F.nullif(tags["taken"], F.lit("")), tags["changed"])
+    return F.when(text.rlike(r"^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$"), import_time(text))
+
+
 def import_time(text: Column) -> Column:
     """Three notations of a local time as ISO text tagged UTC, null otherwise."""
     text = F.trim(text)

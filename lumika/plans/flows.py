@@ -100,8 +100,12 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_counts(table(spark, sf_dir, "events"), "ts", "event_type").select(F.date_format("opened", "yyyy-MM-dd HH:mm:ss").alias("opened"), "kind", "n")
 
 
+def exif_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return photos(spark, sf_dir).select("id", ingest.exif_captured(F.col("exif_json")).alias("captured"))
+
+
 QUERIES = {
-    "needs_index": needs_index, "missing_embedding": lambda s, d: ingest.missing_embedding(photos(s, d), vectors(s, d)), "photo_upsert": photo_upsert, "vector_upsert": vector_upsert,
+    "exif_captured": exif_captured, "needs_index": needs_index, "missing_embedding": lambda s, d: ingest.missing_embedding(photos(s, d), vectors(s, d)), "photo_upsert": photo_upsert, "vector_upsert": vector_upsert,
     "root_add": root_add, "import_dedup": import_dedup, "import_tags": import_tags, "import_summary": import_summary,
     "sidecar_tags": sidecar_tags, "sidecar_persons": sidecar_persons, "export_selection": export_selection, "sidecar_packets": sidecar_packets,
     "debounce_sessions": debounce_sessions, "event_windows": event_windows,
@@ -114,7 +118,10 @@ _ISO = """case when regexp_full_match(trim(exif_dt), '[0-9]{4}:[0-9]{2}:[0-9]{2}
         and try_strptime(replace(substr(trim(exif_dt), 1, 10), ':', '-') || ' ' || substr(trim(exif_dt), 12, 8), '%Y-%m-%d %H:%M:%S') is not null
         then replace(substr(trim(exif_dt), 1, 10), ':', '-') || 'T' || substr(trim(exif_dt), 12, 8) || '+00:00' end"""
 _MANUAL = "hand as (select distinct photo_id, upper(left(trim(label), 1)) || lower(substr(trim(label), 2)) as tag from photo_tag_auto where photo_id % 5 = 0 and score >= 0.25)"
+_TAKEN = """coalesce(nullif(json_extract_string(exif_json, '$."EXIF DateTimeOriginal"'), ''), json_extract_string(exif_json, '$."Image DateTime"'))"""
 SQL = {
+    "exif_captured": f"""with {_P}, t as (select id, case when json_valid(exif_json) then {_TAKEN} end as t from p) select id, case when regexp_full_match(t, '[0-9]{{4}}:[0-9]{{2}}:[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}')
+        and try_strptime(t, '%Y:%m:%d %H:%M:%S') is not null then replace(substr(t, 1, 10), ':', '-') || 'T' || substr(t, 12, 8) || '+00:00' end as captured from t""",
     "needs_index": f"""with {_P}, {_FILES}, c as (select path, mtime, size as size_bytes from fi where path is not null union all select path, case when id % 3 = 0 then mtime + 1 else mtime end, size_bytes from p)
         select c.* from c left join p on p.path = c.path where p.path is null or c.mtime is distinct from p.mtime or c.size_bytes is distinct from p.size_bytes or coalesce(p.embedding_ver, 0) < 1
         or coalesce(p.phash, '') = '' or coalesce(p.dominant_colors, '') = ''""",

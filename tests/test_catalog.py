@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumika.functions.vectors import mean_vectors, nearest
-from lumika.operators import aesthetic, collections, color, ingest, listing, people, search, sidecar, tagging
+from lumika.operators import aesthetic, collections, color, ingest, jobs, listing, people, search, sidecar, tagging
 from lumika.sources import files, hooks, sqlite
 
 PHOTO = "id long, path string, mtime double, size_bytes long, width int, height int, exif_json string, captured_at string, indexed_at string, embedding_ver int, thumb_small string, thumb_large string, phash string, aesthetic double, dominant_colors string, caption string"
@@ -230,3 +230,14 @@ def test_external_catalog(spark, tmp_path):
         c.executemany("insert into files values (?, ?, ?, ?, ?)", [(i * 7, f"/x/{i}.jpg", "t" if i % 2 else None, '["a"]', i) for i in range(1, 101)])
     df = sqlite.external_files(spark, str(path), 5)
     assert df.count() == 100 and df.where("tagged_at is not null").count() == 50 and df.select(F.sum("size")).first()[0] == 5050
+
+
+def test_jobs(spark):
+    table, one = jobs.queue(spark.createDataFrame([], jobs.SCHEMA), 3)
+    table, two = jobs.queue(table, None)
+    table = jobs.progress(jobs.start(table, one, "2026-01-01T00:00:00Z", 10), one, 8)
+    with pytest.raises(ValueError):
+        jobs.start(table, one, "t")
+    table = jobs.finish(jobs.finish(table, one, "2026-01-01T00:00:04Z"), two, "t", "lost")
+    assert {r["id"]: (r["state"], r["total"], r["processed"], r["error"]) for r in table.collect()} == {one: ("done", 10, 8, None), two: ("failed", None, 0, "lost")}
+    assert [tuple(r) for r in jobs.throughput(table).collect()] == [(one, 4.0, 2.0)]
