@@ -73,15 +73,59 @@ def _named_keys(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
-def leads(records: DataFrame) -> DataFrame:
-    """Of records alike in all but their names the one with the smallest id.
+def with_leads(records: DataFrame) -> DataFrame:
+    """`records` with lead: the smallest id of the records alike in all but their names, whose pictures are the same evidence."""
+    alike = [c for c in records.columns if c not in ("id", "core")]
+    rows = records.withColumn("alike", F.md5(F.to_json(F.struct(*alike), {"ignoreNullFields": "false"})))
+    return materialize(rows.join(rows.groupBy("alike").agg(F.min("id").alias("lead")), "alike").drop("alike"))
 
-    However many copies a picture has, its digest and its hash lead to one record of each kind; a copy whose name tells
-    more is found by its name.
+
+def _parts(text: Column, lengths: Column) -> Column:
+    """The distinct parts of a text that have one of the lengths."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: text.substr(i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(text)), cut)))
+
+
+def _digits(core: Column) -> Column:
+    return F.regexp_extract(core, r"(\d{4,})\D*$", 1)
+
+
+def _letters(core: Column) -> Column:
+    return F.regexp_replace(core, r"\d", "")
+
+
+def name_similarity(p: Column, f: Column) -> Column:
+    """One if a name holds the other, less if it holds only the other's number; zero for another number after the same letters."""
+    enough, held = (F.length(p) >= 4) & (F.length(f) >= 4), f.contains(p) | p.contains(f)
+    return F.when(enough & held, 1.0).when((_digits(p) != "") & f.contains(_digits(p)), 0.9).when(_letters(p) == _letters(f), 0.0)
+
+
+def best_names(asked: DataFrame, copies: DataFrame) -> DataFrame:
+    """(lead, f_core, best): of the `copies(lead, id, core)` the one, as (id, core), whose name is most similar to each name
+    of `asked(lead, f_core)`, the smallest id of equal ones.
+
+    Names are looked up by their parts of the lengths that occur, so that copies and names don't multiply.
     """
-    kind = [c for c in records.columns if c not in ("id", "core")]
-    first = records.groupBy(*kind).agg(F.min(F.struct("id", "core")).alias("first"))
-    return first.select(*kind, "first.id", "first.core")
+    names = copies.groupBy("lead", "core").agg(F.min("id").alias("id"))
+    copy = F.struct("id", "core")
+    long_core, number = F.when(F.length("core") >= 4, F.col("core")), F.when(_digits(F.col("core")) != "", _digits(F.col("core")))
+    sought = names.select("lead", copy.alias("copy"), F.explode(F.array(F.struct(long_core.alias("part"), F.lit(1.0).alias("score")), F.struct(number.alias("part"), F.lit(0.9).alias("score")))).alias("s"))
+    sought = sought.where("s.part is not null").groupBy("lead", "s.part", "s.score").agg(F.min("copy").alias("copy"))
+    lengths = lambda df, c: df.groupBy("lead").agg(F.collect_set(F.length(c)).alias("lengths"))
+    inner = asked.join(lengths(sought, "part"), "lead").select("lead", "f_core", F.explode(_parts(F.col("f_core"), F.col("lengths"))).alias("part"))
+    inner = inner.join(sought, ["lead", "part"]).select("lead", "f_core", "score", "copy")
+    whole = asked.where(F.length("f_core") >= 4)
+    outer = names.join(lengths(whole, "f_core"), "lead").select("lead", copy.alias("copy"), F.explode(_parts(F.col("core"), F.col("lengths"))).alias("f_core"))
+    outer = outer.groupBy("lead", "f_core").agg(F.min("copy").alias("copy")).join(whole, ["lead", "f_core"]).select("lead", "f_core", F.lit(1.0).alias("score"), "copy")
+    # without any of that, a name of other letters says more for a copy than one of the same letters with another number
+    first = names.groupBy("lead").agg(F.min(copy).alias("first"))
+    differs = ~F.coalesce(_letters(F.col("core")) == _letters(F.col("first.core")), F.lit(False))
+    other = names.join(first, "lead").where(differs & (F.col("id") != F.col("first.id"))).groupBy("lead").agg(F.min(copy).alias("other"))
+    same = F.coalesce(_letters(F.col("first.core")) == _letters(F.col("f_core")), F.lit(False))
+    rest = asked.join(first.join(other, "lead", "left"), "lead").select("lead", "f_core", F.lit(0.0).alias("score"), F.when(same, F.coalesce("other", "first")).otherwise(F.col("first")).alias("copy"))
+    found = inner.unionByName(outer).unionByName(rest)
+    order = F.struct((-F.col("score")).alias("score"), "copy")
+    return found.groupBy("lead", "f_core").agg(F.min(order).alias("m")).select("lead", "f_core", F.col("m.copy").alias("best"))
 
 
 def _picture_keys(df: DataFrame, spread: bool) -> DataFrame:
@@ -103,14 +147,22 @@ def _picture_keys(df: DataFrame, spread: bool) -> DataFrame:
 
 def candidate_pairs(photos: DataFrame, files: DataFrame) -> DataFrame:
     """(photo_id, file_id, features): pairs that share a blocking key, with the similarity of each attribute; UNKNOWN where a side lacks it."""
-    p, f = photos.select(*[F.col(c).alias(f"p_{c}") for c in photos.columns]), files.select(*[F.col(c).alias(f"f_{c}") for c in files.columns])
-    first = leads(photos)
-    left = _picture_keys(first, False).unionByName(_named_keys(photos)).withColumnRenamed("id", "p_id").join(photos.select(F.col("id").alias("p_id"), F.col("h").alias("ph"), F.substring("digest", 1, 16).alias("pd")), "p_id")
+    photos = with_leads(photos)
+    first = photos.where("id = lead").drop("lead")
+    p, f = first.select(*[F.col(c).alias(f"p_{c}") for c in first.columns]), files.select(*[F.col(c).alias(f"f_{c}") for c in files.columns])
+    named = _named_keys(photos.drop("id").withColumnRenamed("lead", "id")).distinct()
+    left = _picture_keys(first, False).unionByName(named).withColumnRenamed("id", "p_id").join(first.select(F.col("id").alias("p_id"), F.col("h").alias("ph"), F.substring("digest", 1, 16).alias("pd")), "p_id")
     right = _picture_keys(files, True).unionByName(_named_keys(files)).withColumnRenamed("id", "f_id").join(files.select(F.col("id").alias("f_id"), F.col("h").alias("fh"), F.substring("digest", 1, 16).alias("fd")), "f_id")
     apart = hamming(F.col("ph"), F.col("fh"))
     # a shared quarter alone is no reason to look closer: the hashes must be near, unless they are missing or the digests agree
     shared = left.join(right, "key").where((apart <= NEAR_BITS) | apart.isNull() | (F.col("pd") == F.col("fd"))).select("p_id", "f_id").distinct()
-    both = shared.join(p, "p_id").join(f, "f_id")
+    both = materialize(shared.join(p, "p_id").join(f, "f_id"))
+    # copies are searched as one record; each file then gets the copy whose name tells most
+    several = photos.where("id <> lead").select("lead").distinct()
+    asked = both.select(F.col("p_id").alias("lead"), "f_core").where("f_core is not null").distinct().join(several, "lead", "left_semi")
+    best = best_names(asked, photos.join(several, "lead", "left_semi").select("lead", "id", "core")).withColumnRenamed("lead", "p_id")
+    known = F.col("best").isNotNull()
+    both = both.join(best, ["p_id", "f_core"], "left").withColumn("p_id", F.coalesce("best.id", "p_id")).withColumn("p_core", F.when(known, F.col("best.core")).otherwise(F.col("p_core")))
     distance = hamming(F.col("p_h"), F.col("f_h"))
     length = F.least(F.length("p_digest"), F.length("f_digest"))
     digest = F.when(F.substring("p_digest", 1, 16) == F.substring("f_digest", 1, 16), 1.0).when(length.isNotNull(), 0.35)
@@ -123,12 +175,7 @@ def candidate_pairs(photos: DataFrame, files: DataFrame) -> DataFrame:
     shape = F.greatest(F.lit(0.7), 1 - 5 * F.abs(long_side("p") - long_side("f")))
     # ... but of a picture that was cropped they say nothing
     density = F.when(gap.isNotNull() & ((gap < 0.005) | F.coalesce(shape > 0.9, F.lit(True))), F.greatest(F.lit(0.0), 1 - 40 * gap))
-    digits = lambda c: F.regexp_extract(c, r"(\d{4,})\D*$", 1)
-    letters = lambda c: F.regexp_replace(c, r"\d", "")
-    held = F.col("f_core").contains(F.col("p_core")) | F.col("p_core").contains(F.col("f_core"))
-    enough = (F.length("p_core") >= 4) & (F.length("f_core") >= 4)
-    name = F.when(enough & held, 1.0).when((digits("p_core") != "") & F.col("f_core").contains(digits("p_core")), 0.9)
-    name = name.when(letters("p_core") == letters("f_core"), 0.0)
+    name = name_similarity(F.col("p_core"), F.col("f_core"))
     lag = lambda t: F.abs(F.col("f_t1") - F.col(t))
     zone = lambda t: (lag(t) % _QUARTER == 0) & (lag(t) <= 14 * 3600)
     taken = F.when((lag("p_t1") == 0) | (lag("p_t2") == 0), 1.0).when(zone("p_t1") | zone("p_t2"), 0.9)

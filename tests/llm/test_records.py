@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lumika.llm.linkage import link
+from lumika.llm.linkage import best_names, link, name_similarity
 from lumika.llm.survivors import claim_truth, survivors, true_values
 
 PHOTO = "id long, path string, size_bytes long, sha256 string, width int, height int, exif_json string, captured_at string, phash string, h string"
@@ -74,3 +74,29 @@ def test_links_of_moved_resized_and_renamed_pictures(spark):
     assert len(rows) == len({x["file_id"] for x in rows}) and len(got & want) >= 0.97 * len(want) and len(got - want) <= 3
     assert all(0.5 <= x["posterior"] <= 1 for x in rows)
     assert link(p.limit(0), f).count() == 0 and link(p, f.limit(0)).count() == 0
+
+
+def test_files_of_a_copy_get_the_copy_by_its_name(spark):
+    r = random.Random(6)
+    photo, files, want = [], [], set()
+    for i in range(1, 81):
+        h, size, sha, at = r.getrandbits(64), r.randrange(500_000, 9_000_000), f"{r.getrandbits(256):064x}", f"2019:0{i % 9 + 1}:{i % 28 + 1:02d} {i % 24:02d}:{i % 60:02d}:{i * 7 % 60:02d}"
+        for k, name in ((i, f"holiday{1000 + 7 * i}"), (500 + i, f"IMG_{4000 + i}")):  # copies alike but for their names
+            photo.append((k, f"/vault/{name}.jpg", size, sha, 4000, 3000, '{"EXIF DateTimeOriginal": "%s"}' % at, None, f"{h:016x}", "x"))
+        name, taken = ((f"IMG_{4000 + i} (1)", at), (f"IMG_{4000 + i}", None))[i % 2]  # contains the second copy's name, or has it without a time
+        files.append((1000 + i, f"/nas/{name}.webp", size // 4, None, 2000, 1500, taken, f"{h:016x}", "x"))
+        want.add((500 + i, 1000 + i))
+    rows = link(spark.createDataFrame(photo, PHOTO), spark.createDataFrame(files, FILE)).collect()
+    assert {(x["photo_id"], x["file_id"]) for x in rows} == want and len(rows) == len(want)
+
+
+def test_best_names_are_those_of_all_copies(spark):
+    r = random.Random(7)
+    core = lambda: r.choice(["", "img", "imgx", "dsc", "holiday"]) + r.choice(["", "1", "1234", "12345", "2345", "91234"]) + r.choice(["", "a", "copy"])
+    copies = [(lead, 10 * lead + k, core() if r.random() < 0.95 else None) for lead in range(1, 60) for k in range(r.randrange(1, 6))]
+    asked = sorted({(lead, core()) for lead in range(1, 60) for _ in range(8)})
+    c, a = spark.createDataFrame(copies, "lead long, id long, core string"), spark.createDataFrame(asked, "lead long, f_core string")
+    score = F.coalesce(name_similarity(F.col("core"), F.col("f_core")), F.lit(0.5))
+    brute = a.join(c, "lead").groupBy("lead", "f_core").agg(F.max_by("id", F.struct(score, -F.col("id"))).alias("id"))
+    got = {(x["lead"], x["f_core"]): x["best"]["id"] for x in best_names(a, c).collect()}
+    assert got == {(x["lead"], x["f_core"]): x["id"] for x in brute.collect()} and len(got) == len(asked)
