@@ -31,11 +31,12 @@ def clamp_threshold(t: int) -> int:
     return max(0, min(t, MOST))
 
 
-def hash_links(hashes: DataFrame, threshold: int) -> DataFrame:
+def hash_links(hashes: DataFrame, threshold: int, forest: bool = True) -> DataFrame:
     """(a, b, d): links between distinct hash values at most `threshold` bits apart that connect all that are linked at all.
 
     Two hashes so near agree in at least one of threshold + 1 bands. Buckets of one band value give a spanning forest of
-    their links, so a value that many hashes share adds links in proportion to their number, and none is capped.
+    their links, so a value that many hashes share adds links in proportion to their number, and none is capped. Without
+    `forest` all links come, each once.
     """
     values = hashes.select("h").where("h is not null").distinct()
     parts = [F.xxhash64(F.lit(i), band_value(F.col("h"), s, w)) for i, (s, w) in enumerate(bands(threshold + 1))]
@@ -45,7 +46,16 @@ def hash_links(hashes: DataFrame, threshold: int) -> DataFrame:
         d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
         return (d <= threshold) & (a != b), d
 
-    return bucket_pairs(rows, ["bits"], check, forest=True).distinct()
+    return bucket_pairs(rows, ["bits"], check, forest).distinct()
+
+
+def hash_pairs(photo: DataFrame, threshold: int = 5) -> DataFrame:
+    """(id_a, id_b, distance): all pairs of different hashes at most `threshold` bits apart, each hash by its smallest id; id_a < id_b."""
+    rows = photo.select("id", usable_phash().alias("h")).where("id is not null and h is not null")
+    least = rows.groupBy("h").agg(F.min("id").alias("least"))
+    links = hash_links(rows, clamp_threshold(threshold), forest=False)
+    links = links.join(least.select(F.col("h").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("h").alias("b"), F.col("least").alias("y")), "b")
+    return links.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.col("d").alias("distance"))
 
 
 def cluster_key(ids: Column) -> Column:

@@ -33,6 +33,11 @@ def dupe_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(ends, "h").groupBy("h").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).select("first_id", "n")
 
 
+def dupe_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of different hashes within five bits, each hash by its smallest photo, with their distance."""
+    return dupes.hash_pairs(photos(spark, sf_dir), 5)
+
+
 def dupe_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dupes.clusters(photos(spark, sf_dir), 5).select("cluster_id", "size", "cluster_key")
 
@@ -104,7 +109,7 @@ def collection_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "dupe_memberships": dupe_links, "dupe_edges_banded": dupe_edges, "dupe_clusters": dupe_clusters, "dupe_exact": dupe_exact, "dupe_ignore_filter": dupe_ignore_filter,
+    "dupe_memberships": dupe_links, "dupe_edges_banded": dupe_edges, "dupe_pairs_banded": dupe_pairs, "dupe_clusters": dupe_clusters, "dupe_exact": dupe_exact, "dupe_ignore_filter": dupe_ignore_filter,
     "people": lambda s, d: people.people(faces(s, d), person(s, d), 2, 100), "cluster_photos": cluster_photos,
     "persons": lambda s, d: people.persons(person(s, d), faces(s, d)), "face_crop_box": lambda s, d: people.crop_boxes(faces(s, d), photos(s, d)),
     "name_cluster": name_cluster, "merge_clusters": merge_clusters, "rename_person": rename_person, "unname_person": unname_person, "online_clusters": online_clusters,
@@ -131,6 +136,7 @@ def _clustered(bits: int, columns: str, tail: str = "") -> str:
 _CLUSTER_PHOTOS = f"with {_P}, {_F}, {_BUSY} select id, path, captured_at from p where id in (select photo_id from f where cluster_id = (select cluster_id from b where rn = 1)) order by captured_at desc nulls last, id limit 200"
 SQL = {
     "dupe_edges_banded": f"with {_H} select min(a.id) as first_id, count(*) as n from h a where exists (select 1 from h b where a.h <> b.h and bit_count(xor(a.h, b.h)) <= 5) group by a.h",
+    "dupe_pairs_banded": f"with {_H}, u as (select h, min(id) as id from h group by h) select a.id as id_a, b.id as id_b, bit_count(xor(a.h, b.h))::int as distance from u a join u b on a.id < b.id and bit_count(xor(a.h, b.h)) <= 5",
     "dupe_memberships": _clustered(5, "id, cluster_id", "from m"), "dupe_clusters": _clustered(5, "*", "from s"), "dupe_exact": _clustered(0, "*", "from s"),
     "dupe_ignore_filter": _clustered(0, "cluster_id, size", "from s where size <> 2 order by size desc, cluster_id limit 50"),
     "people": f"""with {_F}, n as (select distinct id as person_id, name as person_name from person) select f.cluster_id, n.person_id, n.person_name, count(*) as face_count, count(distinct f.photo_id) as photo_count,

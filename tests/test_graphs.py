@@ -130,3 +130,16 @@ def test_ignore_round_trip(spark):
     after, there = dupes.unignore(ignored, key)
     assert there and after.count() == 0 and dupes.unignore(after, "unknown")[1] is False
     assert dupes.clamp_threshold(99) == 20 and dupes.clamp_threshold(-3) == 0
+
+
+def test_pairs_of_hashes_are_all_pairs(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(12)]
+    values = [b ^ sum(1 << k for k in r.sample(range(64), r.randrange(4))) for b in base for _ in range(6)]
+    values += values[:5]
+    got = [tuple(x) for x in dupes.hash_pairs(hashes(spark, [f"{v:016x}" for v in values]), 5).select("id_a", "id_b", "distance").collect()]
+    first = {v: i + 1 for i, v in reversed(list(enumerate(values)))}
+    want = {(i, j, (a ^ b).bit_count()) for a, i in first.items() for b, j in first.items() if i < j and (a ^ b).bit_count() <= 5}
+    assert sorted(got) == sorted(want)
+    links = dupes.hash_links(spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "h long"), 5)
+    assert links.count() < len(want)
