@@ -109,6 +109,16 @@ def test_reading_levels(spark, monkeypatch, limit):
     assert len(rows) == 120 and {r["doc_id"]: r["reading_level"] for r in rows} == truth
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 5])
+def test_a_document_of_numbers_gets_the_mean_level(spark, monkeypatch, limit):
+    monkeypatch.setattr(reading, "BROADCAST_WORDS", limit)
+    docs, truth = corpus(30)
+    numbers = [(500, " ".join(f"{i}." for i in range(1, 60)), "x")]
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(30)], "doc_id long, reading_level string")
+    rows = reading.reading_levels(spark.createDataFrame([*docs, *numbers], "doc_id long, text string, x string"), labels).collect()
+    assert len(rows) == 31 and {r["doc_id"]: r["reading_level"] for r in rows} == {**truth, 500: "general"}
+
+
 def test_reading_without_labels_or_documents(spark):
     docs, _ = corpus(6)
     none = spark.createDataFrame([], "doc_id long, reading_level string")
