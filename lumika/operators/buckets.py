@@ -12,12 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumika.session import materialize, shuffle_width
+from lumika.operators.joins import split_join
+from lumika.session import Scratch, materialize, shuffle_width
 
 BLOCK = 512
+#: Blocks of one key that a task holds against the key's other blocks; a key with more is split.
+BLOCKS_A_TASK = 16
 #: (left ids, left payloads, right ids, right payloads) of candidate pairs -> (mask of pairs kept, their distances)
 Check = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -78,12 +81,18 @@ def _pairs_batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(low), pa.array(high), pa.array(d.astype(np.int32))], names=names)
 
 
-def bucket_pairs(rows: DataFrame, pay: list[str], check: Check, forest: bool, block: int = BLOCK) -> DataFrame:
+def bucket_pairs(
+    rows: DataFrame, pay: list[str], check: Check, forest: bool, block: int = BLOCK, opens: Callable[[Column, Column], Column] | None = None,
+    qualify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, meets: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
     """(a, b, d): pairs of ids, a < b, that share a key and pass `check`, with their distance; a pair may come several times.
 
     `rows` has key long, id long and the payload columns `pay`, all long; none is null. With `forest` a bucket gives a minimum spanning forest of
     its passing pairs instead of all of them, which keeps every connection and stays linear in the bucket's size.
     Rows of one id in one bucket are compared too; `check` has to reject them. An empty input gives an empty result.
+    A bucket beyond `block` rows meets itself block against block. Two different blocks are compared only if `opens`, of
+    their lists of ids, is true, and only those rows of the left one that `qualify`, of its payloads and the right one's;
+    both must be true wherever a pair could pass. `meets` gets the pairs of blocks before they are sifted.
     """
     spark, width = rows.sparkSession, len(pay)
 
@@ -141,7 +150,10 @@ def bucket_pairs(rows: DataFrame, pay: list[str], check: Check, forest: bool, bl
                 if same:
                     found += list(_within(np.array([0]), np.array([len(x)]), x, p, check, forest))
                     continue
-                i, j = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
+                own = np.arange(len(x)) if qualify is None else np.flatnonzero(qualify(p, q))
+                if not len(own):
+                    continue
+                i, j = np.repeat(own, len(y)), np.tile(np.arange(len(y)), len(own))
                 keep, d = check(x[i], p[i], y[j], q[j])
                 i, j, d = i[keep], j[keep], d[keep]
                 if forest and len(i):
@@ -154,15 +166,17 @@ def bucket_pairs(rows: DataFrame, pay: list[str], check: Check, forest: bool, bl
 
     n = shuffle_width(spark)
     ordered = rows.select("key", "id", *pay).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-    out = materialize(ordered.mapInArrow(scan, "key long, ids array<long>, pays array<long>, a long, b long, d int"))
-    inside = out.where("a is not null").select("a", "b", "d")
-    blocks = out.where("key is not null").select("key", F.monotonically_increasing_id().alias("block"), "ids", "pays")
-    blocks = materialize(blocks)
-    right = blocks.select("key", F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("pays").alias("pays2"))
-    # a hot key's blocks meet in as many join partitions as the left side is salted into
-    salts = 8
-    left = blocks.withColumn("salt", F.pmod("block", F.lit(salts)))
-    right = right.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
-    meet = left.join(right, ["key", "salt"]).where("block <= other").select("ids", "pays", "ids2", "pays2", (F.col("block") == F.col("other")).alias("same"))
-    # a row holds two blocks, so batches are kept to a few of them
-    return inside.unionByName(materialize(meet.mapInArrow(cross, "a long, b long, d int"), arrow_rows=64))
+    with Scratch() as made:
+        out = made.table(ordered.mapInArrow(scan, "key long, ids array<long>, pays array<long>, a long, b long, d int"))
+        inside = out.where("a is not null").select("a", "b", "d")
+        blocks = made.table(out.where("key is not null").select("key", F.monotonically_increasing_id().alias("block"), "ids", "pays"))
+        right = blocks.select("key", F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("pays").alias("pays2"))
+        meet = split_join(blocks, right, "key", hot=BLOCKS_A_TASK).where("block <= other")
+        same = F.col("block") == F.col("other")
+        if meets is not None:
+            meets(meet.withColumn("same", same))
+        if opens is not None:
+            meet = meet.where(same | opens(F.col("ids"), F.col("ids2")))
+        # a row holds two blocks, so batches are kept to a few of them
+        across = made.table(meet.select("ids", "pays", "ids2", "pays2", same.alias("same")).mapInArrow(cross, "a long, b long, d int"), arrow_rows=64)
+        return materialize(inside.unionByName(across))

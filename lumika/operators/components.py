@@ -9,37 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumika.operators.joins import HOT_KEY, split_join
 from lumika.session import materialize, release
 
-HOT_KEY = 200_000
-#: Once no more than so many edges are left, 16 bytes each, one task finishes them.
-FINISH = 500_000
+#: Edges that a task contracts at a time, 16 bytes each.
+CHUNK = 2_000_000
 
 
-def lookup(df: DataFrame, key: str, table: DataFrame, node: str, value: str, rows: int, hot: int = HOT_KEY) -> DataFrame:
-    """`df` left-joined with the unique `table(node, value)` on `key`.
-
-    A key with more than `hot` rows would put them all into one task. There are at most rows/hot such keys, so their
-    values travel by broadcast; the rest joins by shuffle.
-    """
-    right = table.select(F.col(node).alias("__k"), F.col(value))
-    if rows <= hot:
-        return df.join(right, df[key] == right["__k"], "left").drop("__k")
-    heavy = df.groupBy(key).count().where(F.col("count") > hot).select(F.col(key).alias("__k"))
-    heavy_values = F.broadcast(heavy.join(right, "__k", "left"))
-    marked = df.join(F.broadcast(heavy.withColumn("__hot", F.lit(True))).withColumnRenamed("__k", "__h"), df[key] == F.col("__h"), "left").drop("__h")
-    cold = marked.where(F.col("__hot").isNull()).drop("__hot")
-    warm = marked.where(F.col("__hot")).drop("__hot")
-    cold = cold.join(right, cold[key] == right["__k"], "left").drop("__k")
-    warm = warm.join(heavy_values, warm[key] == heavy_values["__k"], "left").drop("__k")
-    return cold.unionByName(warm)
-
-
-def _jump(parents: DataFrame) -> DataFrame:
+def _jump(parents: DataFrame, hot: int) -> DataFrame:
     """Replace every parent by the root of its tree; the distance to the root halves in each round."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        joined = parents.join(up, "parent", "left")
+        joined = split_join(parents.select("node", "parent"), up, "parent", "left", parents.count(), hot)
         after = materialize(joined.select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")))
         release(parents)
         parents = after
@@ -63,62 +44,68 @@ def local_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _finished(live: DataFrame) -> DataFrame:
-    """(node, parent) of the nodes that aren't their component's smallest, by one task that gets all, few, edges."""
+def _contracted(edges: DataFrame, chunk: int) -> DataFrame:
+    """The edges (hi, lo), each chunk of a task's edges as stars around its components' smallest nodes.
+
+    What is linked stays linked, and fewer edges go through the shuffles that follow, as with a combiner.
+    """
+
+    def stars(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hi, lo = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+        label = local_labels(len(nodes), at[: len(hi)], at[len(hi) :])
+        moved = label != np.arange(len(nodes))
+        return pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["hi", "lo"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
-        if parts:
-            hi, lo = (np.concatenate(x) for x in zip(*parts))
-            nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
-            label = local_labels(len(nodes), at[: len(hi)], at[len(hi) :])
-            moved = label != np.arange(len(nodes))
-            yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["node", "parent"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(x) for x, _ in held) >= chunk:
+                yield stars(held)
+                held = []
+        if held:
+            yield stars(held)
 
-    return live.select("hi", "lo").coalesce(1).mapInArrow(run, "node long, parent long")
+    return edges.select("hi", "lo").mapInArrow(run, "hi long, lo long")
 
 
-def _composed(live: DataFrame, labels: DataFrame | None, parents: DataFrame) -> DataFrame:
+def _composed(live: DataFrame, labels: DataFrame | None, parents: DataFrame, hot: int) -> DataFrame:
     """Labels after a round that moved nodes to the roots in `parents`."""
     if labels is None:
         nodes = live.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
         new = nodes.join(parents.select("node", "parent"), "node", "left").select("node", F.coalesce("parent", "node").alias("component"))
     else:
         up = parents.select(F.col("node").alias("component"), "parent")
-        new = labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+        new = split_join(labels, up, "component", "left", labels.count(), hot).select("node", F.coalesce("parent", "component").alias("component"))
     return materialize(new)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", finish: int = FINISH) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", chunk: int = CHUNK, hot: int = HOT_KEY) -> DataFrame:
     """(node, component): every node of an edge with the smallest node it is linked to, directly or through others.
 
     Each round every node takes the smallest label among its neighbours, pointer jumping flattens the resulting trees,
     and the edges are rewritten to the trees' roots; this goes on until no label changes, which takes a number of
-    rounds logarithmic in the number of nodes whatever the diameter. Every round ends in a written table. When at most
-    `finish` edges are left, which are few enough for any executor, one task does the rest; 0 keeps all rounds distributed.
+    rounds logarithmic in the number of nodes whatever the diameter. Every round ends in a written table. Before a
+    shuffle each task contracts its own edges, `chunk` at a time. Nodes, parents and labels with more than `hot` rows
+    are split in every join.
 
     Nulls, self-loops and repeated edges are ignored; an empty input gives an empty result.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     pairs = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), (a.isNotNull() & b.isNotNull() & (a != b)).alias("ok"))
-    live = materialize(pairs.where("ok").select("hi", "lo").distinct())
+    live = materialize(_contracted(pairs.where("ok"), chunk).distinct())
     labels = None
     while (rows := live.count()) > 0:
-        if rows <= finish:
-            parents = materialize(_finished(live))
-            labels, old = _composed(live, labels, parents), labels
-            for table in (live, old, parents):
-                release(table)
-            return labels
-        parents = _jump(materialize(live.groupBy("hi").agg(F.min("lo").alias("parent")).select(F.col("hi").alias("node"), "parent")))
-        ends = lookup(live, "hi", parents.withColumnRenamed("parent", "up"), "node", "up", rows)
-        ends = ends.select(F.coalesce("up", "hi").alias("hi"), "lo")
-        ends = lookup(ends, "lo", parents.withColumnRenamed("parent", "up"), "node", "up", rows)
-        ends = ends.select("hi", F.coalesce("up", "lo").alias("lo")).where("hi <> lo")
-        after = materialize(ends.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
-        new = _composed(live, labels, parents)
-        for old in (live, labels, parents):
-            release(old)
+        parents = _jump(materialize(live.groupBy("hi").agg(F.min("lo").alias("parent")).select(F.col("hi").alias("node"), "parent")), hot)
+        for end in ("hi", "lo"):
+            up = parents.select(F.col("node").alias(end), F.col("parent").alias("up"))
+            joined = split_join(live if end == "hi" else ends, up, end, "left", rows, hot)
+            ends = joined.withColumn(end, F.coalesce("up", end)).drop("up")
+        ends = ends.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
+        after = materialize(_contracted(ends.distinct(), chunk).distinct())
+        new = _composed(live, labels, parents, hot)
+        release(live, labels, parents)
         live, labels = after, new
     release(live)
     if labels is None:

@@ -16,12 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumika.session import materialize
+from lumika.session import Scratch, materialize
 
 # The month names of mail dates.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-FIRST_YEAR, LAST_YEAR = 1900, 2100
 MICROS = 1_000_000
+#: No zone's clocks were moved before the first of these years. After the second all zones follow a rule that a calendar
+#: repeats every 400 years, to the weekday, so a later year has the intervals of that of the same place in the cycle.
+STILL, RULED, CYCLE = 1800, 2499, 400
+CYCLE_DAYS = 146_097
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
 _REST = r"\s*(.*?)"
@@ -134,7 +137,7 @@ def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def zone_intervals(needed: DataFrame) -> DataFrame:
     """Offset intervals of every (zone, year) in `needed`, which must name known zones; open ends are null.
 
-    Years beyond FIRST_YEAR..LAST_YEAR use those years' intervals, so there are at most 600 zones times 201 years of them.
+    Years are those of the corpus, brought into STILL..RULED, so there are at most 600 zones times 700 years of them.
     """
     return needed.mapInPandas(_intervals, "zone string, year int, from_s long, to_s long, seconds int")
 
@@ -160,15 +163,23 @@ def instants(df: DataFrame, key: str, texts: list[str], offset: str, zone: str)
     rows = rows.select(key, "t.utc", "t.local", F.col("t.offset").alias("offset"), own.alias("own"), "o", other.alias("other"))
     # a zone named with the time comes before an offset given elsewhere
     seconds = F.coalesce("offset", F.when(F.col("own").isNull(), F.col("o")))
-    rows = materialize(rows.select(key, "utc", "local", seconds.alias("seconds"), F.coalesce("own", "other").alias("zone")))
+    with Scratch() as made:
+        return materialize(_resolved(made.table(rows.select(key, "utc", "local", seconds.alias("seconds"), F.coalesce("own", "other").alias("zone"))), key))
+
+
+def _resolved(rows: DataFrame, key: str) -> DataFrame:
+    """(key, micros) of `rows(key, utc, local, seconds, zone)`: numbers and stated offsets by arithmetic, zones by their intervals."""
     direct = rows.where("utc is not null or (local is not null and seconds is not null)").select(key, F.coalesce("utc", F.expr(f"local - seconds * {MICROS}L")).alias("micros"))
 
-    year = F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("local") / (86400 * MICROS)).cast("int")))))
-    named = rows.where("utc is null and local is not null and seconds is null and zone is not null").select(key, "local", "zone", year.alias("year"))
+    local_year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("local") / (86400 * MICROS)).cast("int")))
+    cycles = F.greatest(F.lit(0), F.ceil((local_year - RULED) / CYCLE)).cast("long")
+    named = rows.where("utc is null and local is not null and seconds is null and zone is not null").select(key, "local", "zone", local_year.alias("y"), cycles.alias("cycles"))
+    year = F.greatest(F.lit(STILL), F.col("y") - F.col("cycles") * CYCLE).cast("int")
+    wall = F.floor(F.col("local") / MICROS) - F.col("cycles") * (CYCLE_DAYS * 86400)
+    named = named.select(key, "local", "zone", year.alias("year"), wall.alias("wall"))
     table = zone_intervals(named.select("zone", "year").distinct())
-    wall = F.floor(F.col("local") / MICROS)
-    inside = (F.col("from_s").isNull() | (wall >= F.col("from_s"))) & (F.col("to_s").isNull() | (wall < F.col("to_s")))
-    # at most 600 zones x 201 years x a few intervals: the interval side is bounded whatever the corpus
+    inside = (F.col("from_s").isNull() | (F.col("wall") >= F.col("from_s"))) & (F.col("to_s").isNull() | (F.col("wall") < F.col("to_s")))
+    # at most 600 zones x 700 years x a few intervals: the interval side is bounded whatever the corpus
     matched = named.join(F.broadcast(table), ["zone", "year"]).where(inside)
     single = matched.groupBy(key).agg(F.count("*").alias("n"), F.min(F.expr(f"local - seconds * {MICROS}L")).alias("micros")).where("n = 1")
     return direct.unionByName(single.select(key, "micros"))

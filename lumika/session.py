@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import threading
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_TABLE_ROOTS: set[str] = set()
+_SETTING = threading.RLock()
 
 
 def get_session(app: str = "lumika", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,32 +57,77 @@ def shared_root(spark: SparkSession) -> str:
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def _delete(path: str) -> None:
+    jvm = SparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
+def _forget_tables() -> None:
+    """At the driver's end no table of its applications is left."""
+    for root in _TABLE_ROOTS:
+        with contextlib.suppress(Exception):
+            _delete(root)
+
+
+def _table_root(spark: SparkSession) -> str:
+    """The folder of this application's tables; one whose driver was killed is known by the application's id."""
+    root = f"{shared_root(spark)}/tables/{spark.sparkContext.applicationId}"
+    if not _TABLE_ROOTS:
+        atexit.register(_forget_tables)
+    _TABLE_ROOTS.add(root)
+    return root
+
+
 def materialize(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends there and survives lost executors.
 
-    `arrow_rows` bounds the rows of an Arrow batch while `df` is computed, for plans that hand wide rows to Python.
+    `arrow_rows` bounds the rows of an Arrow batch while `df` is computed, for plans that hand wide rows to Python; such
+    writes of one driver take turns, as the bound is a setting of the session. The table is deleted by `release`, by the
+    end of a `Scratch` it was made in, or at the driver's end.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(ARROW_ROWS)
-    try:
-        if arrow_rows:
-            spark.conf.set(ARROW_ROWS, str(min(arrow_rows, int(before)) if int(before) > 0 else arrow_rows))
+    path = f"{_table_root(spark)}/{uuid.uuid4().hex}"
+    if arrow_rows:
+        with _SETTING:
+            before = spark.conf.get(ARROW_ROWS)
+            try:
+                spark.conf.set(ARROW_ROWS, str(min(arrow_rows, int(before)) if int(before) > 0 else arrow_rows))
+                df.write.parquet(path)
+            finally:
+                spark.conf.set(ARROW_ROWS, before)
+    else:
         df.write.parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._lumika_path = path
     return back
 
 
-def release(df: DataFrame | None) -> None:
-    """Delete a table made by `materialize` that no later plan reads."""
-    path = getattr(df, "_lumika_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables made by `materialize` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_lumika_path", None)
+        if path:
+            _delete(path)
+
+
+class Scratch:
+    """Intermediate tables of one operator: deleted at the end of the block, when the result has been written."""
+
+    def __enter__(self) -> Scratch:
+        self._made: list[DataFrame] = []
+        return self
+
+    def table(self, df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
+        return self.keep(materialize(df, arrow_rows))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Take over a table that another operator wrote."""
+        self._made.append(df)
+        return df
+
+    def __exit__(self, *_) -> None:
+        release(*self._made)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lumika.operators import dupes
 from lumika.operators.buckets import bucket_pairs, spanning_forest
-from lumika.operators.components import connected_components, lookup
+from lumika.operators.components import connected_components
+from lumika.operators.joins import split_join
 
 
 def brute(edges):
@@ -26,13 +27,13 @@ def brute(edges):
     return {x: find(x) for x in label}
 
 
-def components(spark, edges, finish):
+def components(spark, edges, chunk, hot):
     df = spark.createDataFrame(edges, "src long, dst long")
-    return {r["node"]: r["component"] for r in connected_components(df, finish=finish).collect()}
+    return {r["node"]: r["component"] for r in connected_components(df, chunk=chunk, hot=hot).collect()}
 
 
-@pytest.mark.parametrize("finish", [0, 60, 10**6])
-def test_components_of_chains_stars_and_random_graphs(spark, finish):
+@pytest.mark.parametrize("chunk, hot", [(1, 10), (40, 20), (10**6, 10**6)])
+def test_components_of_chains_stars_and_random_graphs(spark, chunk, hot):
     r = random.Random(2)
     chain = [(i, i + 1) for i in range(100, 160)]
     r.shuffle(chain)
@@ -40,7 +41,7 @@ def test_components_of_chains_stars_and_random_graphs(spark, finish):
     other = [(r.randrange(1000, 1100), r.randrange(1000, 1100)) for _ in range(70)]
     zigzag = [(2000 + i, 2100 - i) for i in range(20)] + [(2001 + i, 2100 - i) for i in range(20)]
     edges = [(a, b) for a, b in chain + star + other + zigzag if a != b]
-    assert components(spark, edges + edges[:9] + [(b, a) for a, b in edges[:9]], finish) == brute(edges)
+    assert components(spark, edges + edges[:9] + [(b, a) for a, b in edges[:9]], chunk, hot) == brute(edges)
 
 
 def test_components_ignore_nulls_and_loops(spark):
@@ -49,11 +50,30 @@ def test_components_ignore_nulls_and_loops(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
-def test_lookup_splits_hot_keys(spark):
-    rows = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(300)] + [(None, 1)], "k long, i long")
-    table = spark.range(0, 400, 2).select(F.col("id").alias("node"), (F.col("id") * 10).alias("v"))
-    plain = sorted(map(str, lookup(rows, "k", table, "node", "v", 301, hot=10**9).collect()))
-    assert sorted(map(str, lookup(rows, "k", table, "node", "v", 301, hot=20).select("k", "i", "v").collect())) == plain
+def test_split_join_is_the_plain_join(spark):
+    rows = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(300)] + [(None, 1), (None, 2)], "k long, i long")
+    table = spark.range(0, 400, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v")).unionByName(spark.createDataFrame([(7, 70), (7, 71)], "k long, v long"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain = sorted(map(str, rows.join(table, "k", how).collect()))
+        assert sorted(map(str, split_join(rows, table, "k", how, hot=20).collect())) == plain
+        assert sorted(map(str, split_join(rows, table, ["k"], how, 302, 20).collect())) == plain
+        assert split_join(rows.limit(0), table, "k", how).count() == 0
+
+
+def test_split_join_bounds_the_rows_of_a_task(spark):
+    """Of 40,000 rows of one key no task of the join gets more than a few times `hot`."""
+    rows = spark.range(40_000, numPartitions=8).select(F.lit(1).cast("long").alias("k"), "id")
+    table = spark.createDataFrame([(1, "x")], "k long, v string")
+    wide = spark.sparkContext.defaultParallelism * 8
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, (str(wide), "-1", "false")):
+            spark.conf.set(k, v)
+        tasks = split_join(rows, table, "k", hot=1000).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in tasks) == 40_000 and max(r["count"] for r in tasks) <= 8_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_spanning_forest_keeps_connections_and_prefers_short_edges():
@@ -88,9 +108,17 @@ def hashes(spark, values):
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "id long, phash string")
 
 
-def test_bands_cover_all_bits():
-    for n in (1, 3, 6, 8, 21):
-        assert sum(w for _, w in dupes.bands(n)) == 64 and len(dupes.bands(n)) == n
+def test_chunks_cover_all_bits():
+    for n in (2, 3, 7, 8, 22):
+        layout = dupes.chunks(n)
+        assert len(layout) == n and layout[0][0] == 0 and all(s + w == t for (s, w), (t, _) in zip(layout, layout[1:] + [(64, 0)]))
+
+
+def test_equal_hashes_of_very_many_photos(spark):
+    same = [(i, "f" * 15 + "0") for i in range(1, 20_001)] + [(30_000, "f" * 16), (30_001, "0123456789abcdef")]
+    rows = spark.createDataFrame(same, "id long, phash string")
+    got = dupes.memberships(rows, 5)
+    assert got.count() == 20_001 and got.agg(F.max("cluster_id")).first()[0] == 1
 
 
 @pytest.mark.parametrize("t", [1, 5])

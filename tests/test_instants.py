@@ -16,7 +16,7 @@ def resolve(local, zone):
         at = local.replace(tzinfo=info, fold=fold).astimezone(dt.timezone.utc)
         if at.astimezone(info).replace(tzinfo=None) == local:
             found.add(at)
-    return found.pop().strftime("%Y-%m-%dT%H:%M:%S.%fZ") if len(found) == 1 else None
+    return found.pop().replace(tzinfo=None).isoformat(timespec="microseconds") + "Z" if len(found) == 1 else None
 
 
 def run(spark, rows):
@@ -70,6 +70,20 @@ def test_named_zones_against_the_zone_database(spark):
     assert [got.get(i) for i in range(len(rows))] == want and want[-len(turns) :] == [None] * len(turns)
 
 
+def test_named_zones_in_far_years(spark):
+    rows, want = [], []
+    for zone in ("America/New_York", "Europe/Berlin", "Australia/Lord_Howe", "Africa/Casablanca"):
+        for year in (2, 1701, 1850, 1899, 2037, 2100, 2101, 2150, 2499, 2500, 2900, 3333, 9998):
+            for month, day in ((1, 1), (3, 14), (4, 5), (7, 1), (10, 4), (10, 25), (12, 31)):
+                local = dt.datetime(year, month, day, 2, 10)
+                rows.append((local.isoformat() + " " + zone, None))
+                want.append(resolve(local, zone))
+    got = run(spark, rows)
+    assert [got.get(i) for i in range(len(rows))] == want
+    # 1850 is before the zone's time: its clocks showed the sun's
+    assert got[next(i for i, (t, _) in enumerate(rows) if t.startswith("1850-07-01"))] == "1850-07-01T07:06:02.000000Z"
+
+
 def test_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(1, "2021-09-23T03:13:31Z", None)] * 3 + [(None, "2021-09-23T03:13:31Z", None)], "id long, captured_at string, exif_json string")
     assert capture_instants(df).count() == 1 and capture_instants(df.limit(0)).count() == 0
