@@ -82,7 +82,7 @@ def _pairs_batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def bucket_pairs(
-    rows: DataFrame, pay: list[str], check: Check, forest: bool, block: int = BLOCK, opens: Callable[[Column, Column], Column] | None = None,
+    rows: DataFrame, pay: list[str], check: Check, forest: bool, block: int = BLOCK, summary: list[Callable[[Column], Column]] = (), opens: Callable[[list[Column], list[Column]], Column] | None = None,
     qualify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, meets: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """(a, b, d): pairs of ids, a < b, that share a key and pass `check`, with their distance; a pair may come several times.
@@ -90,9 +90,10 @@ def bucket_pairs(
     `rows` has key long, id long and the payload columns `pay`, all long; none is null. With `forest` a bucket gives a minimum spanning forest of
     its passing pairs instead of all of them, which keeps every connection and stays linear in the bucket's size.
     Rows of one id in one bucket are compared too; `check` has to reject them. An empty input gives an empty result.
-    A bucket beyond `block` rows meets itself block against block. Two different blocks are compared only if `opens`, of
-    their lists of ids, is true, and only those rows of the left one that `qualify`, of its payloads and the right one's;
-    both must be true wherever a pair could pass. `meets` gets the pairs of blocks before they are sifted.
+    A bucket beyond `block` rows meets itself block against block. Two different blocks are compared only if `opens` is
+    true of their summaries, each function of which makes a column of a block's ids, and only those rows of the left one
+    that `qualify`, of its payloads and the right one's; both must be true wherever a pair could pass. `meets` gets the
+    pairs of different blocks, with whether they are opened, before they are sifted.
     """
     spark, width = rows.sparkSession, len(pay)
 
@@ -170,13 +171,16 @@ def bucket_pairs(
         out = made.table(ordered.mapInArrow(scan, "key long, ids array<long>, pays array<long>, a long, b long, d int"))
         inside = out.where("a is not null").select("a", "b", "d")
         blocks = made.table(out.where("key is not null").select("key", F.monotonically_increasing_id().alias("block"), "ids", "pays"))
-        right = blocks.select("key", F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("pays").alias("pays2"))
-        meet = split_join(blocks, right, "key", hot=BLOCKS_A_TASK).where("block <= other")
+        notes = [(f"u{i}", f"v{i}") for i in range(len(summary))]
+        right = blocks.select("key", F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("pays").alias("pays2"), *[f(F.col("ids")).alias(v) for f, (_, v) in zip(summary, notes)])
+        left = blocks.select("*", *[f(F.col("ids")).alias(u) for f, (u, _) in zip(summary, notes)])
+        meet = split_join(left, right, "key", hot=BLOCKS_A_TASK, counted=blocks).where("block <= other")
         same = F.col("block") == F.col("other")
-        if meets is not None:
-            meets(meet.withColumn("same", same))
         if opens is not None:
-            meet = meet.where(same | opens(F.col("ids"), F.col("ids2")))
+            opened = opens([F.col(u) for u, _ in notes], [F.col(v) for _, v in notes])
+            if meets is not None:
+                meets(meet.where(~same).select(opened.alias("opened")))
+            meet = meet.where(same | opened)
         # a row holds two blocks, so batches are kept to a few of them
         across = made.table(meet.select("ids", "pays", "ids2", "pays2", same.alias("same")).mapInArrow(cross, "a long, b long, d int"), arrow_rows=64)
         return materialize(inside.unionByName(across))

@@ -10,18 +10,19 @@ HOT_KEY = 200_000
 _NULLS = 64
 
 
-def split_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None, hot: int = HOT_KEY) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", rows: int | None = None, hot: int = HOT_KEY, counted: DataFrame | None = None) -> DataFrame:
     """`left` joined with `right` on the columns `on`; `how` is inner, left, left_semi or left_anti.
 
     A key with n > `hot` rows on the left gets ceil(n / hot) salts: its left rows spread over them by a hash of the whole
     row, its right rows are repeated for each. The hot keys travel by broadcast; there are at most rows / hot of them,
     with the default one entry for 200,000 rows. Left rows with a null key, which match nothing, are spread too.
-    If the caller knows the left side's number of `rows` and it is at most `hot`, no key can be hot and none is counted.
+    If the caller knows the left side's number of `rows` and it is at most `hot`, no key can be hot and none is counted;
+    if it has a narrower table with the same keys, it hands it over as `counted`.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if rows is not None and rows <= hot:
         return left.join(right, keys, how)
-    heavy = left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot)
+    heavy = (left if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot)
     heavy = F.broadcast(heavy.select(*keys, F.ceil(F.col("__n") / hot).cast("int").alias("__salts")))
     spread = F.xxhash64(*left.columns)
     missing = F.lit(False)
