@@ -1,137 +1,108 @@
 """Records whose 64-bit hashes differ in a few bits, by a token-group matrix.
 
 A hash is a set of 64 tokens, one for each bit position and its value; two hashes differ in at most t bits if and only
-if they share at least 64 - t tokens. The hashes are partitioned into groups of similar ones: those that agree in a
-chunk of their bits, in order of the remaining bits, at most GROUP of them. The matrix row of a group is its token
-union, kept as two masks (positions where some member has a one, and where some member has a zero). A query's overlap
-with a group is at most the number of its tokens in that union; a group is opened only if this bound reaches 64 - t.
-With t + 1 chunks, hashes within t bits agree in at least one of them, so a group that could qualify is never missed.
+if they share at least 64 - t tokens. The hashes are partitioned into groups of similar ones: at most GROUP of those that
+agree in two of t + 2 chunks of their bits, in order of their bits. The matrix row of a group is its token union, kept as
+two masks (positions where some member has a one, and where some member has a zero). A query's overlap with a group is at
+most the number of its tokens in that union; a group is opened only if this bound reaches 64 - t, first for all members
+of another group together, then for each of them. Hashes within t bits agree in two chunks at least, so a group that
+could qualify is never missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumika.session import materialize, shuffle_width
-from lumika.tables import hamming
+from lumika.operators.buckets import bucket_pairs
+from lumika.operators.dupes import chunk_keys
+from lumika.operators.joins import split_join
+from lumika.session import Scratch, materialize, release
 
 GROUP = 64
 
+def _ones(members: Column) -> Column:
+    return F.aggregate(members, F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(h))
+
+
+def _zeros(members: Column) -> Column:
+    return F.aggregate(members, F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(F.bitwise_not(h)))
+
+
+def tokens_unshared(left: list[Column], right: list[Column]) -> Column:
+    """Positions where all of one group have a one and all of the other a zero, or the other way round: tokens no pair shares."""
+    (ones, zeros), (ones2, zeros2) = left, right
+    alone = lambda zero, one: F.bit_count(F.bitwise_not(zero).bitwiseAND(F.bitwise_not(one)))
+    return alone(zeros, ones2) + alone(zeros2, ones)
+
+
+def overlap_bound(queries: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Upper bound of the tokens that each of the hashes shares with any member of a group."""
+    ones, zeros = np.bitwise_or.reduce(group), np.bitwise_or.reduce(~group)
+    return np.bitwise_count(queries & ones).astype(np.int64) + np.bitwise_count(~queries & zeros)
+
+
+def near_hashes(hashes: DataFrame, t: int = 5, group: int = GROUP, report: list | None = None) -> DataFrame:
+    """(ha, hb, d): all pairs of different values of `hashes(h long)` that differ in at most `t` bits, ha < hb, each once.
 
-def chunks(t: int) -> list[tuple[int, int]]:
-    """(shift, width) of t + 1 chunks that cover 64 bits; the first ones are a bit wider."""
-    base, wide = divmod(64, t + 1)
-    widths = [base + (i < wide) for i in range(t + 1)]
-    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
-
-
-def chunk_value(h: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(-1 if width == 64 else (1 << width) - 1).cast("long"))
-
-
-def _groups(size: int):
-    """Cut sorted rows (chunk, value, h) into groups with their token unions."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-                held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            if held is None or not len(held[0]):
-                continue
-            c, v, h = held
-            heads = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (v[1:] != v[:-1])])
-            run = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(c)]))
-            inside = (np.arange(len(c)) - heads[run]) // size
-            starts = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (inside[1:] != inside[:-1])])
-            if batch is not None:  # the last group may go on
-                stop = starts[-1]
-                starts, held = starts[:-1], [x[stop:] for x in held]
-            else:
-                stop, held = len(c), None
-            if not len(starts):
-                continue
-            bits = h[:stop].view(np.uint64)
-            ones, zeros = np.bitwise_or.reduceat(bits, starts), np.bitwise_or.reduceat(~bits, starts)
-            members = pa.ListArray.from_arrays(pa.array(np.r_[starts, stop], pa.int32()), pa.array(h[:stop]))
-            yield pa.record_batch([pa.array(c[starts]), pa.array(v[starts]), pa.array(ones.view(np.int64)), pa.array(zeros.view(np.int64)), members], names=["chunk", "value", "ones", "zeros", "members"])
-
-    return cut
-
-
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def _open(t: int, layout: list[tuple[int, int]]):
-    """Compare the groups of a pair: the bound decides which members open the other group, then the bits decide."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.array([s for s, _ in layout], np.uint64)
-        mask = np.array([(1 << w) - 1 for _, w in layout], np.uint64)
-        for batch in batches:
-            got: list[np.ndarray] = []
-            for chunk, left, right, ones, zeros, same in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                a, b = np.array(left, np.int64).view(np.uint64), np.array(right, np.int64).view(np.uint64)
-                if not same:
-                    one, zero = np.array([ones, zeros], np.int64).view(np.uint64)
-                    a = a[np.bitwise_count(a & one) + np.bitwise_count(~a & zero) >= 64 - t]
-                x = a[:, None] ^ b
-                near = np.bitwise_count(x) <= t
-                near &= (a[:, None].view(np.int64) < b.view(np.int64)) if same else True
-                i, j = np.nonzero(near)
-                if len(i):
-                    # a pair is reported in the first chunk in which it agrees
-                    first = np.argmax(((a[i] ^ b[j])[:, None] >> low) & mask == 0, axis=1) == chunk
-                    got.append(np.stack([a[i][first], b[j][first]]))
-            if got:
-                p = np.concatenate(got, axis=1).view(np.int64)
-                yield pa.record_batch([pa.array(p.min(0)), pa.array(p.max(0))], names=["ha", "hb"])
-
-    return compare
-
-
-def near_hashes(hashes: DataFrame, t: int = 5, group: int = GROUP) -> DataFrame:
-    """(ha, hb): all pairs of different values of `hashes(h long)` that differ in at most `t` bits, ha < hb, each once.
-
-    Nulls are ignored and repeated values count once. Nothing is capped: a chunk value that many hashes share only
-    gives more groups, which are spread by range partitioning and compared group against group.
+    Nulls are ignored and repeated values count once. Nothing is capped: a key that many hashes share only gives more
+    groups, which are spread by range partitioning and compared group against group. `report` gets how many pairs of
+    groups met and how many of them the bound left closed.
     """
     if not 0 <= t <= 20:
         raise ValueError("t must be between 0 and 20")
-    spark = hashes.sparkSession
-    layout = chunks(t)
     values = hashes.select("h").where("h is not null").distinct()
-    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("chunk"), chunk_value(F.col("h"), s, w).alias("value")) for i, (s, w) in enumerate(layout)]))
-    rows = values.select("h", sides.alias("c")).select("c.chunk", "c.value", "h")
-    ordered = rows.repartitionByRange(shuffle_width(spark), "chunk", "value", "h").sortWithinPartitions("chunk", "value", "h")
-    groups = ordered.mapInArrow(_groups(group), "chunk int, value long, ones long, zeros long, members array<long>")
-    groups = materialize(groups.withColumn("g", F.monotonically_increasing_id()))
-    salts = 8
-    left = groups.select("chunk", "value", "g", "ones", "zeros", "members", F.pmod("g", F.lit(salts)).alias("salt"))
-    right = groups.select("chunk", "value", F.col("g").alias("g2"), F.col("ones").alias("ones2"), F.col("zeros").alias("zeros2"), F.col("members").alias("members2"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])).alias("salt"))
-    # positions where all of one group have a one and all of the other a zero, or the other way round: tokens no pair shares
-    apart = F.bit_count(F.bitwise_not("zeros").bitwiseAND(F.bitwise_not("ones2"))) + F.bit_count(F.bitwise_not("ones").bitwiseAND(F.bitwise_not("zeros2")))
-    pairs = left.join(right, ["chunk", "value", "salt"]).where((F.col("g") <= F.col("g2")) & (apart <= t))
-    pairs = pairs.select("chunk", "members", "members2", "ones2", "zeros2", (F.col("g") == F.col("g2")).alias("same"))
-    return pairs.mapInArrow(_open(t, layout), "ha long, hb long")
+    rows = values.select(F.explode(F.array(*chunk_keys(F.col("h"), t))).alias("key"), F.col("h").alias("id"), F.col("h").alias("bits"))
+
+    def check(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
+        return (d <= t) & (a != b), d
+
+    def count(meet: DataFrame) -> None:
+        row = meet.agg(F.count("*"), F.count_if(~F.col("opened"))).first()
+        report.append((row[0], row[1]))
+
+    found = bucket_pairs(
+        rows, ["bits"], check, forest=False, block=group, summary=[_ones, _zeros], opens=lambda x, y: tokens_unshared(x, y) <= t,
+        qualify=lambda x, y: overlap_bound(x[:, 0], y[:, 0]) >= 64 - t, meets=None if report is None else count,
+    )
+    # near hashes share several keys
+    distinct = materialize(found.distinct().select(F.col("a").alias("ha"), F.col("b").alias("hb"), "d"))
+    release(found)
+    return distinct
+
+
+def _usable(records: DataFrame) -> DataFrame:
+    return records.where("id is not null and h is not null").select("id", "h").distinct()
 
 
 def near_records(records: DataFrame, t: int = 5) -> DataFrame:
     """(a, b): pairs of ids, a < b, of `records(id, h)` whose hashes differ in at most `t` bits; equal hashes are pairs too.
 
-    Rows with a null id or hash are ignored, repeated rows count once; an empty table gives an empty result.
+    Rows with a null id or hash are ignored, repeated rows count once; an empty table gives an empty result. A hash of
+    many records is split, on whichever side of the join it lies.
+    """
+    with Scratch() as made:
+        records = made.table(_usable(records))
+        near, rows = made.keep(near_hashes(records, t)), records.count()
+        other = records.select(F.col("id").alias("id2"), F.col("h").alias("hb"))
+        left = split_join(records.withColumnRenamed("h", "ha"), near, "ha", rows=rows).select("id", "hb")
+        unlike = split_join(left, other, "hb", rows=max(rows, near.count())).select("id", "id2")
+        alike = split_join(records, other.withColumnRenamed("hb", "h"), "h", rows=rows, hot=2_000).where("id < id2").select("id", "id2")
+        return materialize(unlike.unionByName(alike).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")))
+
+
+def near_classes(records: DataFrame, t: int = 5) -> DataFrame:
+    """(id, class_id, copies, links): every record with a usable hash, its class, the records of the class, and its links to others.
+
+    A class is all records of one hash, named by the smallest id, so the result grows with the records and not with
+    their pairs; `links` counts the other classes within `t` bits.
     """
-    records = records.where("id is not null and h is not null").select("id", "h").distinct()
-    near = near_hashes(records, t)
-    other = records.select(F.col("id").alias("id2"), F.col("h").alias("h2"))
-    unlike = near.join(records, near["ha"] == records["h"]).select("id", "hb").join(other, F.col("hb") == F.col("h2")).select("id", "id2")
-    alike = records.join(other, F.col("h") == F.col("h2")).where("id < id2").select("id", "id2")
-    return unlike.unionByName(alike).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    with Scratch() as made:
+        records = made.table(_usable(records))
+        near = made.keep(near_hashes(records, t))
+        links = near.select(F.explode(F.array("ha", "hb")).alias("h")).groupBy("h").agg(F.count("*").alias("links"))
+        classes = records.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).join(links, "h", "left")
+        found = split_join(records, classes, "h", rows=records.count())
+        return materialize(found.select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")))

@@ -42,12 +42,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_records(photo_hashes(spark, sf_dir)).select(F.col("a").alias("photo_id_a"), F.col("b").alias("photo_id_b"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos with a usable hash by class of equal hashes, with the number of classes within five bits."""
+    from lumika.llm.near_hashes import near_classes
+
+    return near_classes(photo_hashes(spark, sf_dir)).withColumnRenamed("id", "photo_id")
+
+
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups of faces as clusters, loose ones split, each with its size and most typical faces."""
+    """The groups of faces as clusters, loose ones split, each with its size, most typical faces, and the recorded cluster most of it bears."""
     from lumika.llm.face_groups import face_clusters
 
-    known = table(spark, sf_dir, "face_detection").select("id")
-    return face_clusters(table(spark, sf_dir, "face_embedding"), "face_id", known, FACE_DIM)
+    known = table(spark, sf_dir, "face_detection").select("id", F.col("cluster_id").alias("recorded_id"))
+    return face_clusters(table(spark, sf_dir, "face_embedding"), "face_id", known, FACE_DIM, recorded=known)
 
 
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +134,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
 _HASHES = "h as (select distinct id, ('0x' || trim(phash, ' ' || chr(9) || chr(10) || chr(13)))::ubigint as h from photo where regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '[0-9a-fA-F]{16}') and not regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '0{16}'))"
 SQL = {
     "p3_found": f"""
@@ -140,6 +147,10 @@ SQL = {
     "p6_found": f"""
         with {_HASHES}
         select a.id as photo_id_a, b.id as photo_id_b from h a join h b on a.id < b.id where bit_count(xor(a.h, b.h)) <= 5""",
+    "p6_classes": f"""
+        with {_HASHES}, c as (select h, min(id) as class_id, count(*) as copies from h group by h),
+        l as (select a.h, count(*) as links from c a join c b on a.h <> b.h and bit_count(xor(a.h, b.h)) <= 5 group by a.h)
+        select h.id as photo_id, c.class_id, c.copies, coalesce(l.links, 0) as links from h join c on c.h = h.h left join l on l.h = h.h""",
     "p9_found": """
         with d as (select distinct doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
         i as (select distinct item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_item where text is not null),

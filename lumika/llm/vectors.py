@@ -1,14 +1,18 @@
-"""Similar vectors: pseudo-rotations, sketches, and exact comparison within cells of linked candidates.
+"""Similar vectors: pseudo-rotations, sketches, candidates from hash buckets, and exact comparison in units of bounded size.
 
 The way from a table of vectors to exact similarities, shared by neighbours and face groups:
 
 1. `sketch` reads every vector once and writes a small record: bits that estimate its cosines and the codes that its
    bucket keys are made of. Vectors with other than `dim` finite values, or all zero, end here.
-2. `candidates` puts the records into buckets and keeps, per bucket, a spanning forest of the pairs whose short sketches agree.
-3. A longer sketch confirms the pairs, and connected components of what is left give cells.
-4. `in_cells` brings the vectors of each cell together, in blocks of bounded size, and compares them exactly.
-
-So no list of all pairs of a group is ever made, and a vector travels only if it has a likely partner.
+2. `candidates` puts the records into buckets and keeps, per bucket, a spanning forest of the pairs whose sketches agree.
+3. `units_of` forms the units in which vectors meet: a connected component of candidates of at most CELL vectors is one
+   unit. A larger one is cut: in each of several tables its vectors are sorted by their hash codes, deepest codes last,
+   so that vectors of one bucket of whatever depth stand together, and every WINDOW of them is a unit.
+4. `in_units` brings each unit's vectors together and compares them exactly. What large components' candidates link
+   beyond the windows is compared pair by pair, by `pair_cosines`.
+
+So the work grows with the number of vectors, however large a component gets; no list of all pairs of a group is ever
+made, and a vector travels only if it has a likely partner.
 """
 
 from __future__ import annotations
@@ -23,10 +27,14 @@ from pyspark.sql import functions as F
 from lumika.functions.vectors import clean, unit
 from lumika.operators.buckets import bucket_pairs
 from lumika.operators.components import connected_components
-from lumika.session import materialize
-
-SHORT, LONG = 4, 16  # 64-bit words of the short and the long sketch
-CELL = 256
+from lumika.operators.joins import split_join
+from lumika.session import Scratch, materialize, release, shuffle_width
+
+SHORT = 4  # 64-bit words of a sketch that travel into the buckets
+CELL = 8192
+WINDOW = 1024
+SPREAD = 6  # tables in which a component beyond CELL is sorted
+DEPTH = 8  # codes by which it is sorted
 FILTER_BITS = 26
 _SLICE = 1024
 
@@ -69,14 +77,14 @@ def signs(dim: int, words: int, seed: int) -> Callable[[np.ndarray], np.ndarray]
     return lambda x: sign_words(np.concatenate([r(x) for r in rotations], axis=1), words)
 
 
-def sketch(vectors: DataFrame, key: str, dim: int, long_words: Callable[[np.ndarray], np.ndarray], codes: Callable[[np.ndarray], np.ndarray], code_count: int) -> DataFrame:
-    """(id, f0, f1, p0.., s0.., codes): fingerprints of the exact values, short and long sketch, codes of each usable vector."""
-    names = ["id", "f0", "f1", *(f"p{i}" for i in range(SHORT)), *(f"s{i}" for i in range(LONG)), "codes"]
+def sketch(vectors: DataFrame, key: str, dim: int, words: int, seed: int, codes: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, f0, f1, s0.., codes): fingerprints of the exact values, sign bits, and hash codes of each usable vector."""
+    names = ["id", "f0", "f1", *(f"s{i}" for i in range(words)), "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        short = signs(dim, SHORT, 11)
+        bits = signs(dim, words, seed)
         for batch in batches:
             for at in range(0, len(batch), _SLICE):
                 part = batch.slice(at, _SLICE)
@@ -86,14 +94,18 @@ def sketch(vectors: DataFrame, key: str, dim: int, long_words: Callable[[np.ndar
                 raw = [v.tobytes() for v in x]
                 prints = np.array([[xxhash.xxh64_intdigest(v, 1), xxhash.xxh64_intdigest(v, 2)] for v in raw], np.uint64).view(np.int64)
                 x = unit(x).astype(np.float32)
-                columns = [ids, *prints.T, *short(x).T, *long_words(x).T]
                 c = codes(x).astype(np.int16)
-                yield pa.record_batch([pa.array(np.ascontiguousarray(v)) for v in columns] + [pa.array([v.tobytes() for v in c], pa.binary())], names=names)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * c.shape[1], pa.int32()), pa.array(c.ravel()))
+                yield pa.record_batch([pa.array(np.ascontiguousarray(v)) for v in (ids, *prints.T, *bits(x).T)] + [lists], names=names)
 
-    schema = ", ".join(f"{n} {'binary' if n == 'codes' else 'long'}" for n in names)
+    schema = ", ".join(f"{n} {'array<smallint>' if n == 'codes' else 'long'}" for n in names)
     return vectors.select(F.col(key).cast("long").alias("id"), "embedding").mapInArrow(run, schema)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.int64)
+
+
 def near_bits(limit: int):
     def check(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
@@ -104,38 +116,86 @@ def near_bits(limit: int):
 
 def candidates(sketches: DataFrame, keys: Callable[[np.ndarray], np.ndarray], limit: int) -> DataFrame:
     """(a, b): pairs that share a bucket and whose short sketches differ in at most `limit` bits, thinned to spanning forests."""
-    pay = [f"p{i}" for i in range(SHORT)]
+    pay = [f"s{i}" for i in range(SHORT)]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            codes = np.frombuffer(b"".join(batch.column(1 + SHORT).to_pylist()), np.int16).reshape(len(batch), -1).astype(np.int64)
-            found = keys(codes)
+            found = keys(_matrix(batch.column(1 + SHORT)))
             n = found.shape[1]
             columns = [found.ravel(), *(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n) for i in range(1 + SHORT))]
             for at in range(0, len(columns[0]), 50_000):
                 yield pa.record_batch([pa.array(c[at : at + 50_000]) for c in columns], names=["key", "id", *pay])
 
     rows = sketches.select("id", *pay, "codes").mapInArrow(expand, "key long, id long, " + ", ".join(f"{p} long" for p in pay))
-    return bucket_pairs(rows, pay, near_bits(limit), forest=True).select("a", "b").distinct()
+    found = bucket_pairs(rows, pay, near_bits(limit), forest=True)
+    distinct = materialize(found.select("a", "b").distinct())
+    release(found)
+    return distinct
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, score: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
-    """The pairs whose long sketches pass `score`."""
-    words = [f"s{i}" for i in range(LONG)]
-    left = sketches.select(F.col("id").alias("a"), *(F.col(w).alias(f"l{w}") for w in words))
-    right = sketches.select(F.col("id").alias("b"), *(F.col(w).alias(f"r{w}") for w in words))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.where(score([F.col(f"l{w}") for w in words], [F.col(f"r{w}") for w in words])).select("a", "b")
+def confirmed(pairs: DataFrame, sketches: DataFrame, columns: list[str], score: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
+    """The pairs whose sketches pass `score`, of their `columns`."""
+    left = sketches.select(F.col("id").alias("a"), *(F.col(c).alias(f"l_{c}") for c in columns))
+    right = sketches.select(F.col("id").alias("b"), *(F.col(c).alias(f"r_{c}") for c in columns))
+    rows = pairs.count()
+    both = split_join(split_join(pairs, left, "a", rows=rows), right, "b", rows=rows, counted=pairs)
+    return both.where(score([F.col(f"l_{c}") for c in columns], [F.col(f"r_{c}") for c in columns])).select("a", "b")
 
 
-def cells_of(edges: DataFrame) -> DataFrame:
-    """(id, cell, block, blocks): the connected components, each cut into blocks of about CELL members."""
-    labels = connected_components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cell"))
-    sizes = labels.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    return materialize(labels.join(sizes, "cell").select("id", "cell", block.alias("block"), "blocks"))
+def _sorted_windows(large: DataFrame, window: int, tables: int) -> DataFrame:
+    """(id, cell, part, turn) of `large(id, cell, codes)`: in each table consecutive windows in order of the codes."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = _matrix(batch.column(2)) & 0xFFFF
+            for turn in range(tables):
+                own = np.roll(codes, -(turn * codes.shape[1] // tables), axis=1)[:, :DEPTH]
+                own = np.pad(own, ((0, 0), (0, DEPTH - own.shape[1])))
+                deep = [sum(own[:, i + j] << (48 - 16 * j) for j in range(4)) for i in (0, 4)]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.full(len(batch), turn, np.int32)), *map(pa.array, deep)], names=["id", "cell", "turn", "k0", "k1"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, at, part = None, 0, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            cell, turn = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            heads = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (turn[1:] != turn[:-1])])
+            parts = np.empty(len(cell), np.int64)
+            for low, high in zip(heads, [*heads[1:], len(cell)]):
+                if (cell[low], turn[low]) != run:
+                    run, at, part = (cell[low], turn[low]), 0, part + 1
+                number = (at + np.arange(high - low)) // window - at // window + part
+                parts[low:high], at, part = number, at + high - low, int(number[-1])
+                part += at % window == 0  # the next row opens a window
+            task = batch.column(3).to_numpy().astype(np.int64) << 32
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(task + parts), batch.column(2)], names=["id", "cell", "part", "turn"])
+
+    rows = large.mapInArrow(expand, "id long, cell long, turn int, k0 long, k1 long")
+    order = ["cell", "turn", "k0", "k1", "id"]
+    ordered = rows.repartitionByRange(shuffle_width(large.sparkSession), *order).sortWithinPartitions(*order)
+    return ordered.select("id", "cell", "turn", F.spark_partition_id().alias("task")).mapInArrow(cut, "id long, cell long, part long, turn int")
+
+
+def units_of(edges: DataFrame, sketches: DataFrame, cell: int = CELL, window: int = WINDOW, tables: int = SPREAD) -> tuple[DataFrame, DataFrame | None]:
+    """(units(id, cell, part, turn), wide(id)): the units in which the linked vectors meet, and the members of components beyond `cell`.
+
+    A vector of such a component is in one unit of each table, `turn`; every other vector is in one unit, of turn 0.
+    """
+    with Scratch() as made:
+        labels = made.keep(connected_components(edges, "a", "b")).select(F.col("node").alias("id"), F.col("component").alias("cell"))
+        # at most one in `cell` of the vectors' number
+        big = made.table(labels.groupBy("cell").count().where(F.col("count") > cell).select("cell"))
+        small = labels.join(F.broadcast(big), "cell", "left_anti").select("id", "cell", F.lit(0).cast("long").alias("part"), F.lit(0).alias("turn"))
+        if big.count() == 0:
+            return materialize(small), None
+        large = labels.join(F.broadcast(big), "cell", "left_semi")
+        cuts = _sorted_windows(large.join(sketches.select("id", "codes"), "id").select("id", "cell", "codes"), window, tables)
+        return materialize(small.unionByName(cuts)), materialize(large.select("id"))
 
 
 def _planes(x: np.ndarray) -> list[bytes]:
@@ -148,14 +208,14 @@ def unpack(packed: list[bytes], dim: int) -> np.ndarray:
     return np.ascontiguousarray(flat.transpose(0, 2, 1)).view(np.float32).reshape(len(packed), dim)
 
 
-def cell_vectors(vectors: DataFrame, key: str, dim: int, cells: DataFrame) -> DataFrame:
-    """(cell, block, blocks, id, v): the members of cells with their packed vectors, each id once.
+def packed_vectors(vectors: DataFrame, key: str, dim: int, wanted: DataFrame) -> DataFrame:
+    """(id, v): the packed vectors of the ids in `wanted(id)`, and a few others.
 
     A bitmap of hashed ids, of fixed size however many there are, keeps most other vectors out of the shuffle.
     """
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     word, bit = F.shiftrightunsigned(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    bitmap = F.broadcast(cells.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    bitmap = F.broadcast(wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
     rows = vectors.select(F.col(key).cast("long").alias("id"), "embedding").where(F.size("embedding") == dim)
     rows = rows.join(bitmap, word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).select("id", "embedding")
 
@@ -164,67 +224,67 @@ def cell_vectors(vectors: DataFrame, key: str, dim: int, cells: DataFrame) -> Da
             ids, x = clean(batch.column(1), batch.column(0), dim)
             yield pa.record_batch([pa.array(ids), pa.array(_planes(x), pa.binary())], names=["id", "v"])
 
-    packed = rows.mapInArrow(pack, "id long, v binary")
-    # repeated rows are few here; they end in the cell
-    return cells.join(packed, "id").select("cell", "block", "blocks", "id", "v")
+    return rows.mapInArrow(pack, "id long, v binary")
 
 
-def in_cells(members: DataFrame, dim: int, compare: Callable, schema: str) -> DataFrame:
-    """Apply compare(ids, x, other ids, y, same) to the members of each cell: to whole small cells, to pairs of blocks of large ones.
+def in_units(units: DataFrame, packed: DataFrame, dim: int, compare: Callable, schema: str, extra: str | None = None) -> DataFrame:
+    """Apply compare(ids, x) to each of `units(id, cell, part)` with at least two members; it returns a list of columns.
 
-    x and y hold unit vectors in double precision; with `same` both sides are one block. `compare` returns a list of columns.
+    The ids ascend, x holds unit vectors in double precision. With `extra`, a long column of `units`, compare gets it third.
+    A unit has at most CELL members, so a task holds no more than one unit and one batch.
     """
-    names = [part.split()[0] for part in schema.split(", ")]
+    names = [p.split()[0] for p in schema.split(", ")]
 
-    def of(ids: list[int], packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        own, first = np.unique(np.array(ids, np.int64), return_index=True)
-        return own, unit(unpack([packed[i] for i in first], dim))
-
-    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c) for c in columns], names=names)
-
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            cell = t.column(0).to_numpy()
-            heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            ids, packed = t.column(1).to_numpy(), t.column(2).to_pylist()
-            got = []
+            cell, part = t.column(0).to_numpy(), t.column(1).to_numpy()
+            heads = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+            ids, got = t.column(2).to_numpy(), []
             for s, e in zip(heads, np.r_[heads[1:], len(cell)]):
-                if e - s > 1:
-                    i, x = of(ids[s:e], packed[s:e])
-                    got.append(compare(i, x, i, x, True))
+                own, first = np.unique(ids[s:e], return_index=True)  # repeated rows end here
+                if len(own) > 1:
+                    x = unit(unpack(t.column(3).slice(s, e - s).take(pa.array(first)).to_pylist(), dim))
+                    more = () if extra is None else (t.column(4).to_numpy()[s:e][first],)
+                    got.append(compare(own, x, *more))
             if got:
-                yield out([np.concatenate(c) for c in zip(*got)])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*got)], names=names)
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            cell = held.column(0).to_numpy()
-            last = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
-            if last:
-                yield from flush(held.slice(0, last))
-                held = held.slice(last)
+            cell, part = held.column(0).to_numpy(), held.column(1).to_numpy()
+            ends = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]))
+            if len(ends):
+                yield from flush(held.slice(0, int(ends[-1]) + 1))
+                held = held.slice(int(ends[-1]) + 1)
         if held is not None and len(held):
             yield from flush(held)
 
-    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns = ["cell", "part", "id", "v", *([extra] if extra else [])]
+    rows = units.join(packed, "id").select(*columns).repartition("cell", "part").sortWithinPartitions("cell", "part")
+    return materialize(rows.mapInArrow(run, schema), arrow_rows=_SLICE)
+
+
+def pair_cosines(pairs: DataFrame, packed: DataFrame, dim: int, least: float) -> DataFrame:
+    """(a, b, similarity) of the `pairs(a, b)` with a cosine of at least `least`; an id of many pairs is split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, packed, ids2, packed2, same in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                i, x = of(ids, packed)
-                j, y = (i, x) if same else of(ids2, packed2)
-                yield out(compare(i, x, j, y, same))
-
-    one = members.where("blocks = 1").select("cell", "id", "v").repartition("cell").sortWithinPartitions("cell")
-    result = materialize(one.mapInArrow(small, schema), arrow_rows=_SLICE)
-    big = members.where("blocks > 1")
-    if big.limit(1).count() == 0:
-        return result
-    blocks = materialize(big.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("m")).select("cell", "block", F.col("m.id").alias("ids"), F.col("m.v").alias("vs")))
-    salts = 8
-    left = blocks.withColumn("salt", F.pmod("block", F.lit(salts)))
-    right = blocks.select("cell", F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])).alias("salt"))
-    meet = left.join(right, ["cell", "salt"]).where("block <= block2")
-    meet = meet.select("ids", "vs", "ids2", "vs2", (F.col("block") == F.col("block2")).alias("same"))
-    return result.unionByName(materialize(meet.mapInArrow(large, schema), arrow_rows=4))
+            if not len(batch):
+                continue
+            s = np.round((unit(unpack(batch.column(2).to_pylist(), dim)) * unit(unpack(batch.column(3).to_pylist(), dim))).sum(axis=1), 9)
+            keep = pa.array(s >= least)
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(s).filter(keep)], names=["a", "b", "similarity"])
+
+    rows = pairs.count()
+    left, right = packed.select(F.col("id").alias("a"), F.col("v").alias("va")), packed.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    both = split_join(split_join(pairs, left, "a", rows=rows), right, "b", rows=rows, counted=pairs)
+    found = both.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, similarity double")
+    return materialize(found.dropDuplicates(["a", "b"]), arrow_rows=_SLICE)
+
+
+def wide_pairs(edges: DataFrame, wide: DataFrame) -> DataFrame:
+    """The candidates within components that were cut."""
+    return split_join(edges, wide.select(F.col("id").alias("a")), "a", "left_semi", rows=edges.count())

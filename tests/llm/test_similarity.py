@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumika.llm import near_hashes as nh
+from lumika.llm import neighbours
 from lumika.llm.bpe import PairTable
 from lumika.llm.face_groups import face_clusters, face_groups
 from lumika.llm.matches import match_groups
 from lumika.llm.neighbours import neighbour_pairs
+from lumika.llm.vectors import _sorted_windows, units_of
 
 DIM = 512
 VECTORS = "face_id long, embedding array<float>, id string, cell int"
@@ -72,15 +74,35 @@ def test_face_groups_are_those_of_brute_force(spark, noise):
     assert set(got) <= set(want) or len(set(got) - set(want)) <= 0.03 * len(want)
 
 
-def test_a_group_larger_than_a_cell_and_many_copies(spark):
+@pytest.mark.parametrize("cell", [100, 8192])
+def test_a_group_larger_than_a_cell_and_many_copies(spark, cell):
     r = np.random.default_rng(2)
     centre = r.standard_normal(DIM)
     x = np.array([centre + 0.4 * r.standard_normal(DIM) for _ in range(700)] + [centre] * 40, np.float32)
     vectors, known = frame(spark, x, odd=False)
-    got = face_groups(vectors, "face_id", known, DIM).collect()
+    got = face_groups(vectors, "face_id", known, DIM, cell=cell).collect()
     assert len(got) == len(x) and {row["group_id"] for row in got} == {1}
 
 
+def test_a_cut_component_keeps_its_groups(spark):
+    """Chains of groups: the windows of a component beyond the limit and its candidates give the same groups."""
+    x = clustered(9, 25, 3, 60, 0.5)
+    vectors, known = frame(spark, x)
+    want = brute_groups([3 * i + 1 for i in range(len(x))], cosines(x) >= 0.6)
+    got = {r["id"]: r["group_id"] for r in face_groups(vectors, "face_id", known, DIM, cell=20).collect()}
+    assert sum(got.get(k) == v for k, v in want.items()) >= 0.97 * len(want)
+
+
+def test_windows_cover_each_vector_once_a_table(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, 7 if i % 3 else 8, [int(v) for v in r.integers(0, 6, 12)]) for i in range(1000)]
+    large = spark.createDataFrame(rows, "id long, cell long, codes array<smallint>").repartition(5)
+    got = _sorted_windows(large, 64, 3).toPandas()
+    assert len(got) == 3000 and not got.duplicated(["id", "turn"]).any()
+    sizes = got.groupby(["cell", "part"]).agg(n=("id", "size"), turns=("turn", "nunique"))
+    assert sizes["n"].max() <= 64 and (sizes["turns"] == 1).all() and len(sizes) <= 3000 // 64 + 40
+
+
 def test_loose_groups_are_split_around_medoids(spark):
     r = np.random.default_rng(6)
     a, b, c = np.linalg.qr(r.standard_normal((DIM, 3)))[0].T
@@ -124,6 +146,16 @@ def test_neighbours_reach_nearly_all_pairs_and_no_wrong_one(spark):
     assert len(got - want) <= 0.03 * len(want)
 
 
+def test_neighbours_in_a_cut_component(spark, monkeypatch):
+    x = clustered(12, 3, 250, 300, 0.5)
+    vectors, known = frame(spark, x, odd=False)
+    want = brute_pairs(x)
+    monkeypatch.setattr(neighbours, "units_of", lambda edges, sketches: units_of(edges, sketches, 100, 64, 6))
+    got = {(r["a"], r["b"]) for r in neighbour_pairs(vectors, "face_id", known, DIM).collect()}
+    s = cosines(x)
+    assert all(s[a // 3, b // 3] >= 0.6 - 1e-6 for a, b in got) and len(got & want) >= 0.3 * len(want)
+
+
 def test_neighbours_of_exact_copies_are_the_smallest_ids(spark):
     x = np.concatenate([clustered(4, 5, 2, 3, 0.3), np.repeat(clustered(5, 1, 1, 1, 0.1), 30, axis=0)])
     vectors, known = frame(spark, x, odd=False)
@@ -165,6 +197,24 @@ def test_near_hashes_of_one_hot_value_use_many_groups(spark):
     assert got == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 5}
 
 
+def test_the_bound_closes_groups_of_one_key_and_loses_nothing(spark):
+    r = random.Random(11)
+    low = r.getrandbits(28)
+    bases = [r.getrandbits(36) << 28 for _ in range(12)]  # all share their low chunks, so one key holds everything
+    values = sorted({flip(b | low, r.sample(range(28, 64), 2)) for b in bases for _ in range(120)})
+    report: list = []
+    got = {(x["ha"], x["hb"]) for x in nh.near_hashes(spark.createDataFrame([(signed(v),) for v in values], "h long"), 5, 16, report).collect()}
+    want = {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 5}
+    met, closed = report[0]
+    assert got == want and met > 1000 and closed > 0.5 * met
+
+
+def test_classes_of_near_hashes(spark):
+    records = spark.createDataFrame([(1, 0b1), (2, 0b1), (3, 0b11), (4, 2**62 - 1), (4, 2**62 - 1), (None, 1), (5, None)], "id long, h long")
+    assert {tuple(x) for x in nh.near_classes(records).collect()} == {(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0)}
+    assert nh.near_classes(records.limit(0)).count() == 0
+
+
 def test_near_hashes_of_nothing(spark):
     assert nh.near_records(spark.createDataFrame([], "id long, h long")).count() == 0
 
