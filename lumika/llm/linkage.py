@@ -2,9 +2,9 @@
 
 Candidates share one of several blocking keys; each is a vector of similarities of the attributes both tables have. Two
 Gaussians, one of matched and one of unmatched vectors, are fitted without labels by expectation-maximisation, with a
-ridge on their covariances. In every expectation step a record of the right table spreads at most one match over its
-candidates, which is what transitivity amounts to where the left table's records are distinct pictures. What comes out
-is each candidate's posterior.
+ridge on their covariances. Transitivity holds in every expectation step: if a file matches two photos, these match each
+other. So a file's candidates are weighed by picture: copies of one picture, which have one hash, may match it together,
+while different pictures rival for it. What comes out is each candidate's own posterior.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumika.llm.near_hashes import chunk_value
+from lumika.operators.dupes import chunk_keys
 from lumika.operators.instants import MICROS, exif_tags, with_stated
-from lumika.session import materialize
-from lumika.tables import distinct_by, hamming, usable_phash
+from lumika.operators.joins import split_join
+from lumika.session import Scratch, materialize
+from lumika.tables import hamming, usable_phash
 
 FEATURES = ("taken", "density", "name", "hash", "digest", "shape")
 UNKNOWN = 0.5
 RIDGE = 0.02
-ROUNDS = 12
-NEAR_BITS = 7
+TOLERANCE, MOST_ROUNDS = 1e-4, 50
+#: Hashes at most so many bits apart are candidates for that alone.
+NEAR_BITS = 5
 _QUARTER = 900
 
 
@@ -38,29 +40,44 @@ def _hex(digest: Column) -> Column:
     return F.when(text.rlike("^[0-9a-f]{16,64}$") & ~text.rlike("^0+$"), text)
 
 
-def photo_evidence(photo: DataFrame) -> DataFrame:
-    """One row for each distinct picture record of `photo`: id (the smallest of records alike in all evidence) and evidence."""
-    photo = distinct_by(photo.where("id is not null"), "id")
-    rows = photo.select(
+def _photo_rows(photo: DataFrame) -> DataFrame:
+    """The evidence of each row of `photo` that has an id."""
+    rows = photo.where("id is not null").select(
         "id", _core(F.col("path")).alias("core"), _hex(F.col("sha256")).alias("digest"), usable_phash().alias("h"),
         F.when(F.col("size_bytes") > 0, F.col("size_bytes")).alias("size"), F.when(F.col("width") > 0, F.col("width")).alias("w"),
         F.when(F.col("height") > 0, F.col("height")).alias("ht"), "captured_at", exif_tags(F.col("exif_json"), {"taken": "EXIF DateTimeOriginal"})["taken"].alias("taken"),
     )
     rows = with_stated(with_stated(rows, "captured_at", "c"), "taken", "e")
     second = lambda x: F.floor(x / MICROS)
-    rows = rows.select("id", "core", "digest", "h", "size", "w", "ht", second(F.col("e.local")).alias("t1"), second(F.coalesce("c.local", "c.utc")).alias("t2"))
+    return rows.select("id", "core", "digest", "h", "size", "w", "ht", second(F.col("e.local")).alias("t1"), second(F.coalesce("c.local", "c.utc")).alias("t2"))
+
+
+def photo_evidence(photo: DataFrame) -> DataFrame:
+    """One row for each distinct picture record of `photo`: id (the smallest of records alike in all evidence) and evidence."""
+    rows = _photo_rows(photo)
     alike = [c for c in rows.columns if c != "id"]
     return materialize(rows.groupBy(*alike).agg(F.min("id").alias("id")))
 
 
+def picture_classes(photo: DataFrame) -> DataFrame:
+    """(id, class_id): for every photo the smallest id of those alike in all but their names, which blocking takes as one record.
+
+    With a file's photo it gives every copy of that photo, so that copies need not be expanded into pairs.
+    """
+    with Scratch() as made:
+        rows = _with_alike(_photo_rows(photo)).select("id", "alike").distinct()
+        rows = made.table(rows)
+        least = rows.groupBy("alike").agg(F.min("id").alias("class_id"))
+        return materialize(split_join(rows, least, "alike", rows=rows.count()).select("id", "class_id"))
+
+
 def file_evidence(files: DataFrame) -> DataFrame:
-    files = distinct_by(files.where("id is not null"), "id")
-    rows = files.select(
+    rows = files.where("id is not null").select(
         "id", _core(F.col("path")).alias("core"), _hex(F.col("sha256")).alias("digest"), usable_phash().alias("h"),
         F.when(F.col("size") > 0, F.col("size")).alias("size"), F.when(F.col("width") > 0, F.col("width")).alias("w"),
         F.when(F.col("height") > 0, F.col("height")).alias("ht"), "exif_dt",
     )
-    rows = with_stated(rows, "exif_dt", "e")
+    rows = with_stated(rows.dropDuplicates(["id"]), "exif_dt", "e")
     return materialize(rows.select("id", "core", "digest", "h", "size", "w", "ht", F.floor(F.col("e.local") / MICROS).alias("t1"), F.lit(None).cast("long").alias("t2")))
 
 
@@ -73,11 +90,20 @@ def _named_keys(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
+def _with_alike(records: DataFrame) -> DataFrame:
+    """`records` with alike: the digest of all their evidence but the name; their id if there is none to go by."""
+    alike = [c for c in records.columns if c not in ("id", "core")]
+    known = F.col("digest").isNotNull() | F.col("h").isNotNull() | F.col("size").isNotNull()
+    text = F.to_json(F.struct(*alike), {"ignoreNullFields": "false"})
+    return records.withColumn("alike", F.md5(F.when(known, text).otherwise(F.concat(F.lit("id "), F.col("id").cast("string")))))
+
+
 def with_leads(records: DataFrame) -> DataFrame:
     """`records` with lead: the smallest id of the records alike in all but their names, whose pictures are the same evidence."""
-    alike = [c for c in records.columns if c not in ("id", "core")]
-    rows = records.withColumn("alike", F.md5(F.to_json(F.struct(*alike), {"ignoreNullFields": "false"})))
-    return materialize(rows.join(rows.groupBy("alike").agg(F.min("id").alias("lead")), "alike").drop("alike"))
+    with Scratch() as made:
+        rows = made.table(_with_alike(records))
+        least = rows.groupBy("alike").agg(F.min("id").alias("lead"))
+        return materialize(split_join(rows, least, "alike", rows=rows.count()).drop("alike"))
 
 
 def _parts(text: Column, lengths: Column) -> Column:
@@ -128,44 +154,58 @@ def best_names(asked: DataFrame, copies: DataFrame) -> DataFrame:
     return found.groupBy("lead", "f_core").agg(F.min(order).alias("m")).select("lead", "f_core", F.col("m.copy").alias("best"))
 
 
-def _picture_keys(df: DataFrame, spread: bool) -> DataFrame:
-    """(key, id): blocking keys of a record's digest and of the quarters of its hash.
+def _picture_keys(df: DataFrame) -> DataFrame:
+    """(key, id, hashed): blocking keys of a record's digest, and of every two chunks of its hash, which near hashes share."""
+    digest = F.when(F.col("digest").isNotNull(), F.xxhash64(F.lit("digest"), F.substring("digest", 1, 16)))
+    near = F.when(F.col("h").isNotNull(), F.array(*[F.xxhash64(F.lit("hash"), k) for k in chunk_keys(F.col("h"), NEAR_BITS)]))
+    of = lambda keys, hashed: df.select("id", F.explode(keys).alias("key"), F.lit(hashed).alias("hashed"))
+    return of(F.array_compact(F.array(digest)), False).unionByName(of(near, True))
+
+
+#: Blocking keys of a record at the most: pairs of chunks, digest, name, size and time.
+_KEYS = 27
 
-    Hashes within NEAR_BITS bits agree in one of four quarters but for at most one bit, so one side's quarters are also
-    given with each single bit changed.
+
+def shared_keys(photos: DataFrame, files: DataFrame) -> DataFrame:
+    """(p_id, f_id): the pairs that share a blocking key, `photos` with their leads.
+
+    Names, sizes and times are keys of every copy, digests and hashes of the leads. A shared pair of chunks alone is no
+    reason to look closer, so hashes must be near; every other key stands for itself, whatever the hashes.
     """
-    tag = lambda name, *parts: F.xxhash64(F.lit(name), *parts)
-    digest = F.when(F.col("digest").isNotNull(), tag("digest", F.substring("digest", 1, 16)))
-    quarters = []
-    for i in range(4):
-        value = chunk_value(F.col("h"), 16 * i, 16)
-        near = F.array(value, *[value.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(16)]) if spread else F.array(value)
-        quarters.append(F.transform(near, lambda v, i=i: F.when(F.col("h").isNotNull(), tag("hash", F.lit(i), v))))
-    keys = F.array_distinct(F.array_compact(F.concat(F.array(digest), *quarters)))
-    return df.select("id", F.explode(keys).alias("key"))
-
-
-def candidate_pairs(photos: DataFrame, files: DataFrame) -> DataFrame:
-    """(photo_id, file_id, features): pairs that share a blocking key, with the similarity of each attribute; UNKNOWN where a side lacks it."""
-    photos = with_leads(photos)
-    first = photos.where("id = lead").drop("lead")
-    p, f = first.select(*[F.col(c).alias(f"p_{c}") for c in first.columns]), files.select(*[F.col(c).alias(f"f_{c}") for c in files.columns])
-    named = _named_keys(photos.drop("id").withColumnRenamed("lead", "id")).distinct()
-    left = _picture_keys(first, False).unionByName(named).withColumnRenamed("id", "p_id").join(first.select(F.col("id").alias("p_id"), F.col("h").alias("ph"), F.substring("digest", 1, 16).alias("pd")), "p_id")
-    right = _picture_keys(files, True).unionByName(_named_keys(files)).withColumnRenamed("id", "f_id").join(files.select(F.col("id").alias("f_id"), F.col("h").alias("fh"), F.substring("digest", 1, 16).alias("fd")), "f_id")
-    apart = hamming(F.col("ph"), F.col("fh"))
-    # a shared quarter alone is no reason to look closer: the hashes must be near, unless they are missing or the digests agree
-    shared = left.join(right, "key").where((apart <= NEAR_BITS) | apart.isNull() | (F.col("pd") == F.col("fd"))).select("p_id", "f_id").distinct()
-    both = materialize(shared.join(p, "p_id").join(f, "f_id"))
-    # copies are searched as one record; each file then gets the copy whose name tells most
-    several = photos.where("id <> lead").select("lead").distinct()
-    asked = both.select(F.col("p_id").alias("lead"), "f_core").where("f_core is not null").distinct().join(several, "lead", "left_semi")
-    best = best_names(asked, photos.join(several, "lead", "left_semi").select("lead", "id", "core")).withColumnRenamed("lead", "p_id")
-    known = F.col("best").isNotNull()
-    both = both.join(best, ["p_id", "f_core"], "left").withColumn("p_id", F.coalesce("best.id", "p_id")).withColumn("p_core", F.when(known, F.col("best.core")).otherwise(F.col("p_core")))
+    first = photos.where("id = lead")
+    named = _named_keys(photos.drop("id").withColumnRenamed("lead", "id")).distinct().withColumn("hashed", F.lit(False))
+    hashes = lambda df, i, h: df.select(F.col("id").alias(i), F.col("h").alias(h))
+    with Scratch() as made:
+        left = _picture_keys(first).unionByName(named).withColumnRenamed("id", "p_id").join(hashes(first, "p_id", "ph"), "p_id")
+        right = _picture_keys(files).unionByName(_named_keys(files).withColumn("hashed", F.lit(False))).withColumnRenamed("id", "f_id").join(hashes(files, "f_id", "fh"), "f_id")
+        right = right.select("key", "f_id", "fh")
+        met = split_join(made.table(left), right, "key", rows=_KEYS * photos.count())
+        return materialize(met.where(~F.col("hashed") | (hamming(F.col("ph"), F.col("fh")) <= NEAR_BITS)).select("p_id", "f_id").distinct())
+
+
+def candidate_pairs(photo: DataFrame, files: DataFrame) -> DataFrame:
+    """(photo_id, file_id, picture, features): pairs that share a blocking key, with the similarity of each attribute; UNKNOWN where a side lacks it."""
+    with Scratch() as made:
+        photos = made.keep(with_leads(photo))
+        first = photos.where("id = lead").drop("lead")
+        p, f = first.select(*[F.col(c).alias(f"p_{c}") for c in first.columns]), files.select(*[F.col(c).alias(f"f_{c}") for c in files.columns])
+        shared = made.keep(shared_keys(photos, files))
+        rows = shared.count()
+        both = made.table(split_join(split_join(shared, p, "p_id", rows=rows), f, "f_id", rows=rows, counted=shared))
+        # copies are searched as one record; each file then gets the copy whose name tells most
+        several = photos.where("id <> lead").select("lead").distinct()
+        asked = both.select(F.col("p_id").alias("lead"), "f_core").where("f_core is not null").distinct().join(several, "lead", "left_semi")
+        best = best_names(asked, photos.join(several, "lead", "left_semi").select("lead", "id", "core")).withColumnRenamed("lead", "p_id")
+        known = F.col("best").isNotNull()
+        named = both.join(best, ["p_id", "f_core"], "left").withColumn("p_id", F.coalesce("best.id", "p_id")).withColumn("p_core", F.when(known, F.col("best.core")).otherwise(F.col("p_core")))
+        return materialize(_features(named))
+
+
+def _features(both: DataFrame) -> DataFrame:
     distance = hamming(F.col("p_h"), F.col("f_h"))
     length = F.least(F.length("p_digest"), F.length("f_digest"))
-    digest = F.when(F.substring("p_digest", 1, 16) == F.substring("f_digest", 1, 16), 1.0).when(length.isNotNull(), 0.35)
+    # all digits both sides have
+    digest = F.when(F.substring(F.col("p_digest"), F.lit(1), length) == F.substring(F.col("f_digest"), F.lit(1), length), 1.0).when(length.isNotNull(), 0.35)
     log_size = F.log(F.col("f_size") / F.col("p_size"))
     area = F.log((F.col("f_w").cast("double") * F.col("f_ht")) / (F.col("p_w").cast("double") * F.col("p_ht")))
     # a picture that was only scaled keeps its bytes per pixel; one that was only renamed its size
@@ -181,8 +221,9 @@ def candidate_pairs(photos: DataFrame, files: DataFrame) -> DataFrame:
     taken = F.when((lag("p_t1") == 0) | (lag("p_t2") == 0), 1.0).when(zone("p_t1") | zone("p_t2"), 0.9)
     taken = taken.when(F.least(lag("p_t1"), lag("p_t2")).isNotNull(), 0.0)
     vector = {"taken": taken, "density": density, "name": name, "hash": 1 - F.greatest(F.lit(0), distance - 1) / 8, "digest": digest, "shape": shape}
-    # of one file's candidates, the nearest attributes break ties between copies of a picture
-    return both.select(F.col("p_id").alias("photo_id"), F.col("f_id").alias("file_id"), *[F.coalesce(vector[n], F.lit(UNKNOWN)).cast("double").alias(n) for n in FEATURES])
+    # photos of one hash are one picture; without a hash each is its own
+    picture = F.xxhash64(F.col("p_h").isNull(), F.coalesce("p_h", "p_id"))
+    return both.select(F.col("p_id").alias("photo_id"), F.col("f_id").alias("file_id"), picture.alias("picture"), *[F.coalesce(vector[n], F.lit(UNKNOWN)).cast("double").alias(n) for n in FEATURES])
 
 
 def _log_density(mean: np.ndarray, covariance: np.ndarray) -> Column:
@@ -216,29 +257,39 @@ def _moments(df: DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
     return out
 
 
-def fit_and_score(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """`pairs` with their posterior: the probability that both records are of one picture."""
-    pairs = materialize(pairs)
+def fit_and_score(pairs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """`pairs(file_id, picture, ...)` with their posterior: the probability that both records are of one picture.
+
+    Rounds end when no parameter of the mixture moves by more than `tolerance`, after MOST_ROUNDS at the latest.
+    """
     start = F.when((F.col("taken") + F.col("density") + F.col("name") + F.col("digest")) / 4 > 0.6, 0.9).otherwise(0.1)
     scored, before = pairs.withColumn("posterior", start), None
-    one = Window.partitionBy("file_id")
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
         (n, mean, covariance), (m, mean0, covariance0) = _moments(scored)
         if n + m < 1e-6:
             return scored
         now = np.concatenate([mean, mean0, [n / (n + m)]])
-        if before is not None and np.abs(now - before).max() < 1e-4:
+        if before is not None and np.abs(now - before).max() < tolerance:
             break
         before = now
         ridge = RIDGE * np.eye(len(FEATURES))
         prior = float(np.clip(n / (n + m), 0.02, 0.98))
         odds = _log_density(mean, covariance + ridge) - _log_density(mean0, covariance0 + ridge) + float(np.log(prior / (1 - prior)))
         odds = F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), odds)))
-        # at most one of a file's candidates is its picture
-        scored = pairs.withColumn("odds", odds).withColumn("posterior", F.col("odds") / (1 + F.sum("odds").over(one))).drop("odds")
+        scored = transitive(pairs.withColumn("odds", odds)).drop("odds")
     return scored
 
 
+def transitive(pairs: DataFrame) -> DataFrame:
+    """`pairs(file_id, picture, odds, ...)` with the posterior of each: a file has at most one picture, of which all photos match it.
+
+    So each picture rivals with the odds of its best photo, shared by its photos, and a photo's posterior is its own odds against all.
+    """
+    one = Window.partitionBy("file_id", "picture")
+    share = pairs.withColumn("__share", F.max("odds").over(one) / F.count("*").over(one))
+    return share.withColumn("posterior", F.col("odds") / (1 + F.sum("__share").over(Window.partitionBy("file_id")))).drop("__share")
+
+
 def link(photo: DataFrame, files: DataFrame) -> DataFrame:
     """(photo_id, file_id, posterior): the picture of each file that has one, with the confidence of the match.
 
@@ -246,10 +297,8 @@ def link(photo: DataFrame, files: DataFrame) -> DataFrame:
     and of equal ones that with the smallest id. Missing attributes are neutral; rows without an id are left out;
     repeated rows count once; records alike in all evidence are represented by the smallest id; empty tables give none.
     """
-    pairs = candidate_pairs(photo_evidence(photo), file_evidence(files))
-    scored = fit_and_score(pairs)
-    # copies of one picture share the probability, so a file's candidates are weighed together before one is chosen
-    total = F.sum("posterior").over(Window.partitionBy("file_id"))
-    best = scored.withColumn("total", total).where("total >= 0.5")
-    best = best.groupBy("file_id").agg(F.max(F.struct("posterior", (-F.col("photo_id")).alias("p"), "total")).alias("b"))
-    return best.select((-F.col("b.p")).alias("photo_id"), "file_id", F.col("b.total").alias("posterior"))
+    with Scratch() as made:
+        evidence, other = made.keep(photo_evidence(photo)), made.keep(file_evidence(files))
+        scored = fit_and_score(made.keep(candidate_pairs(evidence, other)))
+        best = scored.where("posterior >= 0.5").groupBy("file_id").agg(F.max(F.struct("posterior", (-F.col("photo_id")).alias("p"))).alias("b"))
+        return materialize(best.select((-F.col("b.p")).alias("photo_id"), "file_id", F.col("b.posterior").alias("posterior")))

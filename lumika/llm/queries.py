@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumika.operators.instants import capture_instants
-from lumika.session import materialize
+from lumika.operators.joins import split_join
+from lumika.session import Scratch, materialize
 from lumika.tables import FACE_DIM, PHOTO_DIM, distinct_by, photo_hashes, table, usable_phash
 
 
@@ -25,6 +26,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "photo"), table(spark, sf_dir, "import_files")).select("photo_id", "file_id")
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with their confidence."""
+    from lumika.llm.linkage import link
+
+    found = link(table(spark, sf_dir, "photo"), table(spark, sf_dir, "import_files"))
+    return found.select("photo_id", "file_id", F.round("posterior", 4).alias("posterior"))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos alike in all but their names: each with the smallest id of them."""
+    from lumika.llm.linkage import picture_classes
+
+    return picture_classes(table(spark, sf_dir, "photo")).withColumnRenamed("id", "photo_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similar photos and of similar faces, one among the five most similar of the other."""
     from lumika.llm.neighbours import neighbour_pairs
@@ -67,8 +83,9 @@ def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("aesthetic").between(1, 10), F.col("aesthetic")).alias("aesthetic"), F.try_to_timestamp("indexed_at").alias("indexed"), "caption",
     ]
     rows = photo.select(*columns).where("id is not null and h is not null").dropDuplicates(["id"])
-    taken = capture_instants(photo).select(F.col("photo_id").alias("id"), F.col("micros").alias("captured_at"))
-    return materialize(rows.join(taken, "id", "left"))
+    with Scratch() as made:
+        taken = made.keep(capture_instants(photo)).select(F.col("photo_id").alias("id"), F.col("micros").alias("captured_at"))
+        return materialize(rows.join(taken, "id", "left"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,30 +96,51 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return face_groups(table(spark, sf_dir, "face_embedding"), "face_id", known, FACE_DIM).select(F.col("id").alias("face_id"), "group_id")
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each group of copies and each field, the copy that supplies the value."""
-    from lumika.llm.survivors import survivors
-
+def _rules() -> dict:
     # a copy without indexing time still offers its score, after those that have one
     indexed = F.coalesce(F.unix_micros("indexed"), F.lit(-(2**62)))
-    rules = {
+    return {
         "size_bytes": (F.col("size_bytes"), F.col("size_bytes")),
         "width": (F.col("width"), F.col("width")),
         "aesthetic": (F.col("aesthetic"), indexed),
         "captured_at": (F.col("captured_at"), -F.col("captured_at")),
     }
-    return survivors(_copies(spark, sf_dir), rules).select("group_id", "field_name", "photo_id")
 
 
-def p2_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values of each group's fields that the source quality model judges true; captions may keep several."""
-    from lumika.llm.survivors import true_values
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each group of copies and each field, the copy that supplies the value."""
+    from lumika.llm.survivors import survivors
+
+    with Scratch() as made:
+        return materialize(survivors(made.keep(_copies(spark, sf_dir)), _rules()).select("group_id", "field_name", "photo_id"))
 
-    copies = _copies(spark, sf_dir)
+
+def _claims(made: Scratch, copies: DataFrame) -> DataFrame:
+    """What each copy's source states of its group's fields."""
     groups = copies.groupBy("h").agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n >= 2").select("h", "group_id")
     fields = [F.struct(F.lit(n).alias("field_name"), F.col(n).cast("string").alias("value")) for n in ("size_bytes", "width", "aesthetic", "captured_at", "caption")]
-    claims = materialize(copies.join(groups, "h").select("group_id", "source", F.explode(F.array(*fields)).alias("f")).select("group_id", "source", "f.*"))
-    return true_values(claims, claims.select("group_id", "source"))
+    rows = split_join(copies, groups, "h", rows=copies.count())
+    return made.table(rows.select("group_id", "source", F.explode(F.array(*fields)).alias("f")).select("group_id", "source", "f.*"))
+
+
+def p2_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of each group's fields that the source quality model judges true, with its posterior; captions may keep several."""
+    from lumika.llm.survivors import true_values
+
+    with Scratch() as made:
+        claims = _claims(made, made.keep(_copies(spark, sf_dir)))
+        return true_values(claims, claims.select("group_id", "source"), multi=("caption",))
+
+
+def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier of each group's fields with its value and the model's posterior that this value is true."""
+    from lumika.llm.survivors import claim_truth, survivors
+
+    with Scratch() as made:
+        copies = made.keep(_copies(spark, sf_dir))
+        claims = _claims(made, copies)
+        truth = made.keep(claim_truth(claims, claims.select("group_id", "source"), ("caption",)))
+        return materialize(survivors(copies, _rules()).join(truth, ["group_id", "field_name", "value"], "left").select("group_id", "field_name", "photo_id", "value", "posterior"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +172,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_truth": p2_truth, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_truth": p2_truth, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
 _HASHES = "h as (select distinct id, ('0x' || trim(phash, ' ' || chr(9) || chr(10) || chr(13)))::ubigint as h from photo where regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '[0-9a-fA-F]{16}') and not regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '0{16}'))"
 SQL = {
     "p3_found": f"""

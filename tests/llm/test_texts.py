@@ -3,11 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumika.llm import reading
 from lumika.llm.bpe import FOLDER, Encoder, encode
-from lumika.llm.leaks import Items, leaks, tiles, words
+from lumika.llm.leaks import Coder, leaks, tiles, window_hashes, words
 
 
 @pytest.fixture(scope="module")
@@ -57,29 +58,60 @@ def test_leaks_are_those_of_brute_force(spark):
     assert found == want and got.count() == len(want) and (902, 4) in want
 
 
-def test_items_in_blocks_give_the_same(spark, monkeypatch):
-    import lumika.llm.leaks as module
+def seeds_of(text, item, least):
+    import numpy as np
 
-    items = spark.createDataFrame([(i, " ".join(f"t{i}x{k}" for k in range(20))) for i in range(6)], "item_id long, text string")
-    docs = spark.createDataFrame([(i, "before " + " ".join(f"t{i}x{k}" for k in range(3, 17)) + " after") for i in range(6)], "doc_id long, text string")
-    one = {tuple(r) for r in leaks(docs, items).collect()}
-    monkeypatch.setattr(module, "BLOCK_CHARS", 150)
-    assert {tuple(r) for r in leaks(docs, items).collect()} == one and len(one) == 6
+    a, b = (window_hashes(Coder()(t), least) for t in (text, item))
+    i, j = np.nonzero(a[:, None] == b)
+    return i, j
+
+
+def brute_tiles(a, b, least):
+    """Greedy string tiling word by word."""
+    free_a, free_b, found = [True] * len(a), [True] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < least:
+            return found
+        free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
+        found.append((i, j, n))
+
+
+def test_tiles_are_those_of_brute_force():
+    r = random.Random(3)
+    for case in range(60):
+        a, b = ([r.choice("ab" if case % 2 else "abcdef") for _ in range(r.randrange(1, 40))] for _ in range(2))
+        least = r.randrange(1, 4)
+        assert tiles(*seeds_of(" ".join(a), " ".join(b), least), least) == brute_tiles(a, b, least)
 
 
 def test_tiles_cover_moved_passages():
-    item = Items([(1, " ".join(f"a{i}" for i in range(20)))], 5)
+    item = " ".join(f"a{i}" for i in range(20))
     text = " ".join([*(f"a{i}" for i in range(10, 20)), "and", *(f"a{i}" for i in range(10))])
-    assert list(item.leaks(text)) == [(1, 20, 10, 20)]
-    assert list(item.leaks("nothing of it")) == [] and list(item.leaks(None)) == []
+    assert tiles(*seeds_of(text, item, 5), 5) == [(0, 10, 10), (11, 0, 10)]
+    assert tiles(*seeds_of("nothing of it", item, 5), 5) == []
 
 
-def test_tiles_do_not_overlap():
-    import numpy as np
+def test_leaks_report_coverage_and_read_many_items_in_one_pass(spark):
+    items = spark.createDataFrame([(i, " ".join(f"t{i}x{k}" for k in range(20))) for i in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "before " + " ".join(f"t{i}x{k}" for k in range(3, 17)) + " after") for i in range(0, 3000, 100)], "doc_id long, text string")
+    assert {tuple(r) for r in leaks(docs, items).collect()} == {(i, i, 14, 14, 20) for i in range(0, 3000, 100)}
+    assert leaks(docs, items.limit(0)).count() == 0 and leaks(docs.limit(0), items).count() == 0
+
 
-    a, b = np.array([1, 2, 3, 4, 1, 2, 3, 4]), np.array([1, 2, 3, 4])
-    found = tiles(a, b, [(0, 0), (4, 0)], 2)
-    assert found == [(0, 0, 4)]
+def test_a_passage_that_very_many_documents_hold(spark):
+    passage = " ".join(f"q{k}" for k in range(13))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(passage), F.lit(" end "), F.col("id").cast("string")).alias("text"))
+    items = spark.createDataFrame([(1, passage), (2, "x " + passage), (3, "the " * 40)], "item_id long, text string")
+    got = leaks(docs.unionByName(spark.createDataFrame([(9999, "the " * 3000)], "doc_id long, text string")), items)
+    assert got.count() == 6001 and got.where("longest_tile = 13").count() == 6000 and got.where("doc_id = 9999").first()["shared_words"] == 40
 
 
 SIMPLE = ["the cat sat on the mat.", "we saw a big red dog.", "mum gave me a bun.", "the sun is hot and I run."]
