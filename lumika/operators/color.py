@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumika.operators.listing import next_batch
+
 PALETTE = "array<struct<r: int, g: int, b: int, weight: double>>"
 
 
@@ -39,13 +41,14 @@ def color_search(photo: DataFrame, target: tuple[int, int, int], tolerance: int
     """(id, path, score): photos with a colour near `target`, best first, then by id. Malformed palettes are skipped."""
     if not 0 <= tolerance <= 255:
         raise ValueError("tolerance must be between 0 and 255")
-    rows = photo.where("dominant_colors is not null").select("id", "path", color_score(palette(), target, tolerance).alias("score"))
-    return rows.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+    rows = photo.where("id is not null and dominant_colors is not null").select("id", "path", color_score(palette(), target, tolerance).alias("score"))
+    # repeated rows are copies: each photo once, after the filter
+    return rows.where("score > 0").dropDuplicates(["id"]).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def needs_palette(photo: DataFrame) -> DataFrame:
     """Photos whose palette was never tried; a failed one is an empty list and is not tried again."""
-    return photo.where("dominant_colors is null").select("id", "path").orderBy("id")
+    return next_batch(photo, "dominant_colors")
 
 
 def median_cut(pixels: np.ndarray, k: int = 5) -> list[dict]:
@@ -68,3 +71,14 @@ def median_cut(pixels: np.ndarray, k: int = 5) -> list[dict]:
     n = sum(map(len, boxes))
     colors = [(len(b), *map(int, np.rint(b.mean(axis=0)))) for b in boxes if len(b)]
     return [{"r": r, "g": g, "b": b, "weight": round(c / n, 4)} for c, r, g, b in sorted(colors, reverse=True)]
+
+
+def palette_histogram(pixels: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """(key, rank, r, g, b, weight): of `pixels(key, r, g, b)` each picture's k most frequent colours and their share of its pixels.
+
+    Counts are aggregated before they are ranked, so a picture of any size is a few rows by then. Ties go to the darker colour.
+    """
+    counts = pixels.groupBy(key, "r", "g", "b").agg(F.count("*").alias("n"))
+    totals = pixels.groupBy(key).agg(F.count("*").alias("pixels"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "r", "g", "b"))).where(F.col("rank") <= k)
+    return ranked.join(totals, key).select(key, "rank", "r", "g", "b", F.round(F.col("n") / F.col("pixels"), 4).alias("weight"))

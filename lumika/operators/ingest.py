@@ -71,17 +71,23 @@ def import_tags(text: Column) -> Column:
     """Tags of a JSON list: strings only, trimmed and in lower case, each once in order, without the debris of captions."""
     items = F.from_json(text, "array<string>")
     tags = F.transform(items, lambda t: F.lower(F.trim(t)))
+    # fixed values: what a caption's debris starts with and ends in, and its length
     debris = lambda t: t.rlike(r"^(:|//|\[|/|\\|\{)") | t.endswith(":") | (F.length(t) > LONGEST_TAG) | t.contains("\n")
     return F.coalesce(F.array_distinct(F.filter(tags, lambda t: t.isNotNull() & (t != "") & ~debris(t))), F.array().cast("array<string>"))
 
 
-def import_rows(files: DataFrame, photo: DataFrame, provenance: str = "photos.db") -> DataFrame:
-    """The photos that an import of tagged external files adds: one for each new path, that of the smallest id."""
+def import_rows(files: DataFrame, photo: DataFrame, provenance: str = "photos.db", present: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The photos that an import of tagged external files adds: one for each new path, that of the smallest id.
+
+    With `present(path)` only files that exist are taken, with `limit` exactly so many, in order of their ids.
+    """
     path = F.trim("path")
     rows = files.where("tagged_at is not null").select("id", path.alias("path"), "source", "size", "mtime", "sha256", "phash", "width", "height", "exif_dt", "caption", "tags_json")
     rows = rows.where("path <> ''").join(photo.select("path"), "path", "left_anti")
+    rows = rows if present is None else rows.join(present.select("path"), "path", "left_semi")
     first = Window.partitionBy("path").orderBy("id")
     rows = rows.withColumn("rn", F.row_number().over(first)).where("rn = 1")
+    rows = rows if limit is None else rows.orderBy("id").limit(limit)
     caption = F.trim("caption")
     return rows.select(
         F.col("id").alias("file_id"), "path", F.coalesce("mtime", F.lit(0.0)).alias("mtime"), F.coalesce("size", F.lit(0)).alias("size_bytes"), "sha256", "phash", "width", "height",
@@ -108,3 +114,10 @@ def import_summary(files: DataFrame, photo: DataFrame) -> DataFrame:
         F.count_if(F.col("known").isNotNull()).alias("existing"), F.count_if(new).alias("fresh"), F.count_if(blank).alias("without_path"),
     )
     return sums.select("seen", "imported", "existing", (F.col("fresh") - F.col("imported")).alias("repeated"), "without_path")
+
+
+def tags_of_photos(rows: DataFrame, photo: DataFrame) -> DataFrame:
+    """(photo_id, label, score): the first tags of each imported file as tags of the photo that now has its path."""
+    ids = photo.where("path is not null and id is not null").select("path", F.col("id").alias("photo_id")).dropDuplicates(["path"])
+    kept = rows.select("path", F.explode(F.slice("tags", 1, MOST_TAGS)).alias("label")).join(ids, "path")
+    return kept.select("photo_id", "label", F.lit(1.0).alias("score")).distinct()

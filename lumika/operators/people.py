@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumika.functions.vectors import clean, mean_vectors, unit
+
 THRESHOLD = 0.55
 
 
@@ -117,37 +119,125 @@ def merge_clusters(faces: DataFrame, source: int, target: int, at: str) -> tuple
     return after, audit_row(faces.sparkSession, "merge", {"source": source, "target": target}, at)
 
 
-def assign(vector: np.ndarray, centroids: dict[int, np.ndarray], next_id: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(cluster, next id): the nearest centroid's cluster if it is near enough, which then moves half-way; else a new one."""
-    if centroids:
-        names = list(centroids)
-        similarity = np.stack([centroids[c] for c in names]) @ vector
-        best = int(np.argmax(similarity))
-        if similarity[best] >= threshold:
-            moved = (centroids[names[best]] + vector) / 2
-            size = np.linalg.norm(moved)
-            centroids[names[best]] = moved / size if size > 0 else moved
-            return names[best], next_id
-    centroids[next_id] = vector
-    return next_id, next_id + 1
+class Centroids:
+    """Clusters as rows of one growing matrix, for sequential assignment.
 
+    A vector goes to the most similar centroid if that is similar enough, which then moves half-way to it and is
+    normalised; otherwise it opens a cluster. Similarities of a chunk come from one matrix product and are renewed only
+    for the rows that changed since.
+    """
 
-def online_clusters(faces: DataFrame, group: str, threshold: float = THRESHOLD, first_id: int = 1) -> DataFrame:
+    def __init__(self, dim: int, names: list[int] = (), rows: np.ndarray | None = None, next_id: int = 1, threshold: float = THRESHOLD):
+        self.names, self.next_id, self.threshold = list(names), next_id, threshold
+        self.matrix = np.zeros((max(64, 2 * len(self.names)), dim))
+        if len(self.names):
+            self.matrix[: len(self.names)] = rows
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.matrix[: len(self.names)]
+
+    def place(self, chunk: np.ndarray) -> list[int]:
+        """The clusters of the chunk's vectors, one after the other."""
+        likeness = chunk @ self.rows.T
+        out, changed = [], {}
+        for vector, row in zip(chunk, likeness):
+            full = np.full(len(self.names), -np.inf)
+            full[: len(row)] = row
+            if changed:
+                at = np.fromiter(changed, np.int64, len(changed))
+                full[at] = self.matrix[at] @ vector
+            best = int(np.argmax(full)) if len(full) else -1
+            if best >= 0 and full[best] >= self.threshold:
+                moved = (self.matrix[best] + vector) / 2
+                size = np.linalg.norm(moved)
+                self.matrix[best] = moved / size if size > 0 else moved
+            else:
+                best = len(self.names)
+                if best == len(self.matrix):
+                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+                self.matrix[best] = vector
+                self.names.append(self.next_id)
+                self.next_id += 1
+            changed[best] = True
+            out.append(self.names[best])
+        return out
+
+
+_CHUNK = 256
+
+
+def online_clusters(faces: DataFrame, group: str, threshold: float = THRESHOLD, first_id: int = 1, dim: int = 512) -> DataFrame:
     """(group, face_id, cluster): sequential clustering in order of face_id within each `group`.
 
-    `faces(group, face_id, embedding)`. The result depends on the order, so each group is one task; groups such as scan
-    roots run side by side. The order-free alternative over all faces is a threshold graph with its components.
+    `faces(group, face_id, embedding)`. The result depends on the order, so each group is one task, through which its
+    faces stream in batches; what the task holds is one batch and the centroids. Groups such as scan roots run side by
+    side. The order-free alternative over all faces is a threshold graph with its components. Null, short, long, zero and
+    non-finite vectors are left out, repeated faces count once.
     """
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("face_id").sort_values("face_id")
-        centroids: dict[int, np.ndarray] = {}
-        out, next_id = [], first_id
-        for vector in frame["embedding"]:
-            cluster, next_id = assign(np.asarray(vector, np.float64), centroids, next_id, threshold)
-            out.append(cluster)
-        return pd.DataFrame({group: key[0], "face_id": frame["face_id"], "cluster": out})
-
-    usable = faces.where(F.col("embedding").isNotNull() & F.col("face_id").isNotNull())
     kind = faces.schema[group].dataType.simpleString()
-    return usable.select(group, "face_id", "embedding").groupBy(group).applyInPandas(run, f"`{group}` {kind}, face_id long, cluster long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, last = None, None, None
+        for batch in batches:
+            at, x = clean(batch.column(2), pa.array(np.arange(len(batch))), dim)
+            names, ids = batch.column(0).take(pa.array(at)).to_pylist(), batch.column(1).to_numpy()[at]
+            fresh = np.array([(n, i) != (m, j) for n, i, m, j in zip(names, ids, [now, *names], [last, *ids])], bool)
+            at, x, ids, names = at[fresh], x[fresh], ids[fresh], [n for n, f in zip(names, fresh) if f]
+            if not len(at):
+                continue
+            x, out = unit(x), np.zeros(len(at), np.int64)
+            heads = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for low, high in zip(heads, [*heads[1:], len(names)]):
+                if state is None or names[low] != now:
+                    now, state = names[low], Centroids(dim, next_id=first_id, threshold=threshold)
+                for i in range(low, high, _CHUNK):
+                    out[i : min(high, i + _CHUNK)] = state.place(x[i : min(high, i + _CHUNK)])
+            last = ids[-1]
+            yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(ids), pa.array(out)], names=[group, "face_id", "cluster"])
+
+    usable = faces.where(F.col("embedding").isNotNull() & F.col("face_id").isNotNull()).select(group, F.col("face_id").cast("long"), "embedding")
+    ordered = usable.repartition(F.col(group)).sortWithinPartitions(group, "face_id")
+    return ordered.mapInArrow(run, f"`{group}` {kind}, face_id long, cluster long")
+
+
+def stored_centroids(faces: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(cluster_id, centroid): the mean of each recorded cluster's usable vectors."""
+    own = faces.where("id is not null and cluster_id is not null").select(F.col("id").alias("face_id"), "cluster_id").dropDuplicates(["face_id"])
+    return mean_vectors(vectors.dropDuplicates(["face_id"]).join(own, "face_id"), "cluster_id")
+
+
+def next_cluster_id(faces: DataFrame) -> int:
+    return (faces.agg(F.max("cluster_id")).first()[0] or 0) + 1
+
+
+def index_faces(faces: DataFrame, vectors: DataFrame, dim: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(face_id, cluster_id): clusters of the faces that have none yet, over the whole catalog, in order of their ids.
+
+    It starts from the recorded clusters' means and numbers new clusters after the largest there is. As each face depends
+    on those before it, the new faces stream through one task, which holds the centroids; it is meant for the faces that
+    came since the last run. Faces without a usable vector get no cluster.
+    """
+    start = stored_centroids(faces, vectors.where(F.size("embedding") == dim))
+    names, rows = [], []
+    for r in start.orderBy("cluster_id").toLocalIterator():
+        names.append(r[0])
+        rows.append(np.array(r[1], np.float64))
+    first = next_cluster_id(faces)
+    fresh = faces.where("id is not null and cluster_id is null").select(F.col("id").alias("face_id")).distinct()
+    todo = vectors.where(F.size("embedding") == dim).join(fresh, "face_id").select(F.col("face_id").cast("long"), "embedding")
+    held = faces.sparkSession.sparkContext.broadcast(np.array(rows) if rows else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = Centroids(dim, names, held.value, first, threshold), None
+        for batch in batches:
+            ids, x = clean(batch.column(1), batch.column(0), dim)
+            fine = np.r_[ids[:1] != last, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
+            ids, x = ids[fine], unit(x[fine]) if fine.any() else x[fine]
+            out: list[int] = []
+            for at in range(0, len(ids), _CHUNK):
+                out += state.place(x[at : at + _CHUNK])
+            last = ids[-1] if len(ids) else last
+            yield pa.record_batch([pa.array(ids), pa.array(out, pa.int64())], names=["face_id", "cluster_id"])
+
+    return todo.repartition(1).sortWithinPartitions("face_id").mapInArrow(run, "face_id long, cluster_id long")

@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumika.functions.vectors import nearest, one_vector
-from lumika.tables import distinct_by
+from lumika.sources.hooks import Encode, normalise
 
 SHOWN = ("path", "captured_at", "thumb_small")
 
 
 def _ranked(near: DataFrame, photo: DataFrame) -> DataFrame:
     """The top list first, then the photos: a vector without a photo shortens the result instead of making room for another."""
-    rows = distinct_by(photo.join(F.broadcast(near.select("photo_id")), photo["id"] == near["photo_id"], "left_semi"), "id")
-    shown = rows.select(F.col("id").alias("photo_id"), *SHOWN)
+    rows = photo.join(F.broadcast(near.select("photo_id")), photo["id"] == near["photo_id"], "left_semi")
+    shown = rows.select(F.col("id").alias("photo_id"), *SHOWN).dropDuplicates(["photo_id"])
     score = F.greatest(F.lit(0.0), 1 - 0.5 * F.col("distance"))
     return F.broadcast(near).join(shown, "photo_id").select("photo_id", *SHOWN, "distance", score.alias("score")).orderBy("distance", "photo_id")
 
@@ -42,3 +42,13 @@ def similar(photo: DataFrame, vectors: DataFrame, photo_id: int, limit: int = 50
 def by_text(photo: DataFrame, vectors: DataFrame, text: str, encode: Callable[[str], np.ndarray], limit: int = 50) -> DataFrame:
     """Photos for a text, encoded by the given model; a blank text finds nothing."""
     return by_vector(photo, vectors, encode(text), limit) if text and text.strip() else _empty(photo)
+
+
+def by_image(photo: DataFrame, vectors: DataFrame, content: bytes, load: Callable[[], Encode], limit: int = 50) -> DataFrame:
+    """Photos like a picture that need not be in the catalog, given as the bytes of its file; one the model can't read finds nothing."""
+    if not content:
+        return _empty(photo)
+    query = np.asarray(load()([content]), np.float32)
+    if query.shape[0] != 1 or not np.isfinite(query).all() or not query.any():
+        return _empty(photo)
+    return by_vector(photo, vectors, normalise(query)[0], limit)

@@ -34,6 +34,17 @@ def sidecar_tags(manual: DataFrame, auto: DataFrame, least: float = LEAST_SCORE)
     return first.groupBy("photo_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["tag"]).alias("tags"))
 
 
+def manual_tags(photo_tag: DataFrame, tag: DataFrame) -> DataFrame:
+    """(photo_id, name): the manual tags of each photo, each once; links to tags that are gone are left out."""
+    names = tag.where("id is not null and name is not null").select(F.col("id").alias("tag_id"), "name")
+    return photo_tag.where("photo_id is not null").select("photo_id", "tag_id").join(names, "tag_id").select("photo_id", "name").distinct()
+
+
+def members_of(collection_photo: DataFrame, collection_id: int) -> DataFrame:
+    """(photo_id): the photos that were put into a collection by hand."""
+    return collection_photo.where((F.col("collection_id") == collection_id) & F.col("photo_id").isNotNull()).select("photo_id").distinct()
+
+
 def sidecar_persons(faces: DataFrame, person: DataFrame) -> DataFrame:
     """(photo_id, persons): the names on each photo, each once, in order."""
     named = faces.join(person.select(F.col("id").alias("person_id"), "name"), "person_id").select("photo_id", "name").distinct()
@@ -53,6 +64,13 @@ def export_selection(photo: DataFrame, ids: list[int] | None = None, prefix: str
     return rows.limit(limit) if limit else rows
 
 
+def chosen_for_export(photo: DataFrame, ids: list[int] | None = None, prefix: str | None = None, members: DataFrame | None = None, everything: bool = False, limit: int | None = None) -> DataFrame:
+    """`export_selection`, but without any selector only if `everything` is asked for by name; an empty list of ids is none."""
+    if not ids and not prefix and members is None and not everything:
+        raise ValueError("no selector: give ids, a path prefix, a collection, or ask for everything")
+    return export_selection(photo, ids or None, prefix, members, limit)
+
+
 def _escape(text: Column) -> Column:
     for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(plain), F.lit(safe))

@@ -1,3 +1,3 @@
 """The catalog queries, by family."""
 
-MODULES = ("timeline", "catalog", "groups", "flows")
+MODULES = ("timeline", "catalog", "groups", "flows", "passes")

@@ -6,17 +6,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumika.functions.vectors import mean_vectors, nearest, one_vector
-from lumika.operators import aesthetic, color, listing, search, tagging
-from lumika.tables import PHOTO_DIM, distinct_by, table
+from lumika.functions.vectors import nearest, one_vector
+from lumika.operators import aesthetic, color, listing, people, search, tagging
+from lumika.tables import PHOTO_DIM, table
 
 ASKED = 60  # the photo that searches start from
 LAYMEN = [f"a {n}" for n in ("dog", "cat", "beach", "mountain", "car", "train", "bridge", "flower")]
 
 
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The photo table as it is, for operators that take each photo once after their filter."""
+    return table(spark, sf_dir, "photo")
+
+
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each photo once."""
-    return distinct_by(table(spark, sf_dir, "photo").where("id is not null"), "id")
+    """Each photo once; only the columns that are asked for are shuffled."""
+    return table(spark, sf_dir, "photo").where("id is not null").dropDuplicates(["id"])
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,30 +37,30 @@ def concepts() -> np.ndarray:
 
 def _list(sort: str, **wanted):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return listing.photo_list(photos(spark, sf_dir), sort, 500, where=listing.predicate(**wanted) if wanted else None)
+        return listing.photo_list(rows(spark, sf_dir), sort, 500, where=listing.predicate(**wanted) if wanted else None)
 
     query.__doc__ = f"A page of photos, {sort} first."
     return query
 
 
 def photo_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.photo_list(photos(spark, sf_dir), "newest", 50, 100)
+    return listing.photo_list(rows(spark, sf_dir), "newest", 50, 100)
 
 
 def photo_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.total(photos(spark, sf_dir), listing.predicate(year=2019))
+    return listing.total(rows(spark, sf_dir), listing.predicate(year=2019))
 
 
 def photo_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return photos(spark, sf_dir).where(F.col("id") == ASKED)
+    return listing.lookup(rows(spark, sf_dir), ASKED)
 
 
 def knn_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.similar(photos(spark, sf_dir), vectors(spark, sf_dir), ASKED, 50).select("photo_id", "path", F.round("distance", 5).alias("distance"), F.round("score", 5).alias("score"))
+    return search.similar(rows(spark, sf_dir), vectors(spark, sf_dir), ASKED, 50).select("photo_id", "path", F.round("distance", 5).alias("distance"), F.round("score", 5).alias("score"))
 
 
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.similar(photos(spark, sf_dir), vectors(spark, sf_dir), ASKED, 50, "cosine").select("photo_id", F.round("distance", 5).alias("distance"))
+    return search.similar(rows(spark, sf_dir), vectors(spark, sf_dir), ASKED, 50, "cosine").select("photo_id", F.round("distance", 5).alias("distance"))
 
 
 def knn_before_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,16 +72,16 @@ def knn_before_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text search whose encoder is the rule of `concepts`."""
-    found = search.by_text(photos(spark, sf_dir), vectors(spark, sf_dir), "a dog", lambda _: concepts()[0], 50)
+    found = search.by_text(rows(spark, sf_dir), vectors(spark, sf_dir), "a dog", lambda _: concepts()[0], 50)
     return found.select("photo_id", "path", F.round("distance", 5).alias("distance"))
 
 
 def color_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return color.color_search(photos(spark, sf_dir), color.rgb("#4060a0"), 60, 500).select("id", "path", F.round("score", 6).alias("score"))
+    return color.color_search(rows(spark, sf_dir), color.rgb("#4060a0"), 60, 500).select("id", "path", F.round("score", 6).alias("score"))
 
 
 def color_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return color.needs_palette(photos(spark, sf_dir))
+    return color.needs_palette(rows(spark, sf_dir))
 
 
 def aesthetic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,22 +120,36 @@ def replace_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def face_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean vector of each face cluster, by its length."""
-    faces = table(spark, sf_dir, "face_detection").where("cluster_id is not null").select("id", "cluster_id").dropDuplicates(["id"])
-    own = table(spark, sf_dir, "face_embedding").where(F.size("embedding") == 512).dropDuplicates(["face_id"])
-    means = mean_vectors(own.join(faces, own["face_id"] == faces["id"]), "cluster_id")
-    return means.select("cluster_id", F.round(F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, v: a + v * v)), 5).alias("length"))
+    """The mean vector of each face cluster, by its length and by three of its products with a fixed pattern."""
+    own = table(spark, sf_dir, "face_embedding").where(F.size("embedding") == 512)
+    means = people.stored_centroids(table(spark, sf_dir, "face_detection"), own)
+    slant = lambda m: F.aggregate(F.transform("centroid", lambda v, i: v * (i % m - 2)), F.lit(0.0), lambda a, v: a + v)
+    length = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, v: a + v * v))
+    # the vectors are short binary fractions, so halves at the last digit are pushed to one side
+    return means.select("cluster_id", F.round(length, 5).alias("length"), *[F.round(slant(m) + 1e-7, 4).alias(f"slant{m}") for m in (5, 7, 11)])
+
+
+def needs_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next photos whose faces were not looked for yet."""
+    return listing.next_batch(rows(spark, sf_dir), "face_count", 200)
+
+
+def search_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos like a picture outside the catalog, by a model that is the rule of `concepts`."""
+    found = search.by_image(rows(spark, sf_dir), vectors(spark, sf_dir), b"a picture", lambda: lambda items: concepts()[1 : 1 + len(items)], 50)
+    return found.select("photo_id", "path", F.round("distance", 4).alias("distance"))
 
 
 QUERIES = {
     "photo_list_newest": _list("newest"), "photo_list_oldest": _list("oldest"), "photo_list_best": _list("best"), "photo_list_worst": _list("worst"),
     "photo_filter_year": _list("newest", year=2019), "photo_filter_camera": _list("newest", camera="Lumora X3"), "photo_filter_dates": _list("oldest", date_from="2018-01-01", date_to="2018-12-31"),
     "photo_page": photo_page, "photo_total": photo_total, "photo_lookup": photo_lookup,
-    "best_photos": lambda s, d: listing.best_photos(photos(s, d), 200), "facet_years": lambda s, d: listing.years(photos(s, d)), "facet_cameras": lambda s, d: listing.cameras(photos(s, d)),
-    "backfill_status": lambda s, d: listing.embedding_status(photos(s, d), vectors(s, d)), "hash_state": lambda s, d: listing.hash_state(photos(s, d)),
+    "best_photos": lambda s, d: listing.best_photos(rows(s, d), 200), "facet_years": lambda s, d: listing.years(rows(s, d)), "facet_cameras": lambda s, d: listing.cameras(rows(s, d)),
+    "backfill_status": lambda s, d: listing.embedding_status(rows(s, d), vectors(s, d)), "hash_state": lambda s, d: listing.hash_state(rows(s, d)),
     "knn_similar": knn_similar, "knn_cosine": knn_cosine, "knn_before_join": knn_before_join, "search_text": search_text,
     "color_search": color_search, "color_missing": color_missing, "aesthetic_score": aesthetic_score, "sidecar_rating": rating,
     "auto_tag_topk": auto_tag_topk, "top_labels": top_labels, "photos_for_label": photos_for_label, "untagged": untagged, "replace_tags": replace_tags, "face_centroids": face_centroids,
+    "needs_faces": needs_faces, "search_image": search_image,
 }
 
 _P = "p as (select distinct * from photo where id is not null)"
@@ -185,5 +204,8 @@ SQL = {
     "face_centroids": f"""with f as (select distinct id, cluster_id from face_detection where cluster_id is not null),
         v as (select face_id, any_value(embedding::double[]) as e from face_embedding where embedding is not null and len(embedding) = 512 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by face_id),
         m as (select cluster_id, j, avg(e[j]) as m from v join f on f.id = v.face_id, range(1, 513) t(j) group by 1, 2)
-        select cluster_id, round(sqrt(sum(m * m)), 5) as length from m group by 1""",
+        select cluster_id, round(sqrt(sum(m * m)), 5) as length, round(sum(m * ((j - 1) % 5 - 2)) + 1e-7, 4) as slant5, round(sum(m * ((j - 1) % 7 - 2)) + 1e-7, 4) as slant7, round(sum(m * ((j - 1) % 11 - 2)) + 1e-7, 4) as slant11 from m group by 1""",
+    "needs_faces": f"with {_P} select id, path from p where face_count is null order by id limit 200",
+    "search_image": f"""with {_P}, {_V}, {_C}, n as (select v.photo_id, list_distance(v.e, c.e) as d from v, c where c.i = 1 order by d, v.photo_id limit 50)
+        select n.photo_id, p.path, round(d, 4) as distance from n join p on p.id = n.photo_id""",
 }

@@ -84,14 +84,16 @@ def unname_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential clustering of the faces of each photo's scan root, which are fixed in number."""
-    own = table(spark, sf_dir, "face_embedding").where((F.size("embedding") == 512) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
-    own = own.select("face_id", "embedding", length.alias("n")).where("n > 0").select("face_id", F.transform("embedding", lambda v: v / F.col("n")).alias("embedding"))
     where = faces(spark, sf_dir).join(photos(spark, sf_dir).select(F.col("id").alias("photo_id"), F.regexp_extract("path", r"^/[^/]+/[^/]+", 0).alias("root")), "photo_id")
-    rows = own.dropDuplicates(["face_id"]).join(where.select(F.col("id").alias("face_id"), "root"), "face_id")
+    rows = table(spark, sf_dir, "face_embedding").join(where.select(F.col("id").alias("face_id"), "root"), "face_id")
     return people.online_clusters(rows, "root")
 
 
+def index_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the faces that have none, from the recorded clusters' means on."""
+    return people.index_faces(faces(spark, sf_dir), table(spark, sf_dir, "face_embedding"), 512)
+
+
 def _collection(query: dict, *columns: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog = collections.Catalog(photos(spark, sf_dir), vectors(spark, sf_dir), faces(spark, sf_dir), lambda _: concepts()[0])
@@ -112,7 +114,7 @@ QUERIES = {
     "dupe_memberships": dupe_links, "dupe_edges_banded": dupe_edges, "dupe_pairs_banded": dupe_pairs, "dupe_clusters": dupe_clusters, "dupe_exact": dupe_exact, "dupe_ignore_filter": dupe_ignore_filter,
     "people": lambda s, d: people.people(faces(s, d), person(s, d), 2, 100), "cluster_photos": cluster_photos,
     "persons": lambda s, d: people.persons(person(s, d), faces(s, d)), "face_crop_box": lambda s, d: people.crop_boxes(faces(s, d), photos(s, d)),
-    "name_cluster": name_cluster, "merge_clusters": merge_clusters, "rename_person": rename_person, "unname_person": unname_person, "online_clusters": online_clusters,
+    "name_cluster": name_cluster, "merge_clusters": merge_clusters, "rename_person": rename_person, "unname_person": unname_person, "online_clusters": online_clusters, "index_faces": index_faces,
     "collection_filter": _collection({"kind": "filter", "filters": {"year": 2019, "camera": "Lumora X3"}, "sort": "best"}),
     "collection_color": _collection({"kind": "color", "hex": "#4060a0", "tolerance": 60}, "id", "path", "score"),
     "collection_similar": _collection({"kind": "similar", "photo_id": ASKED}, "photo_id", "distance"),

@@ -68,9 +68,10 @@ def fake_encoder(dim: int = 768) -> Encode:
 def perceptual_hash(gray: np.ndarray, size: int = 8, factor: int = 4) -> str:
     """64-bit hash of a grey picture: signs of the low frequencies against their median, as 16 hex digits."""
     n = size * factor
-    rows = np.linspace(0, gray.shape[0], n + 1).astype(int)
-    columns = np.linspace(0, gray.shape[1], n + 1).astype(int)
-    small = np.array([[gray[rows[i] : max(rows[i + 1], rows[i] + 1), columns[j] : max(columns[j + 1], columns[j] + 1)].mean() for j in range(n)] for i in range(n)])
+    # means of boxes; where a picture has fewer pixels than boxes, a box is one pixel
+    edges = [np.linspace(0, size_, n + 1).astype(int) for size_ in gray.shape]
+    total = np.add.reduceat(np.add.reduceat(gray.astype(np.float64), edges[0][:-1], axis=0), edges[1][:-1], axis=1)
+    small = total / (np.maximum(np.diff(edges[0]), 1)[:, None] * np.maximum(np.diff(edges[1]), 1)[None, :])
     k = np.arange(n)
     cosine = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
     low = (cosine @ small @ cosine.T)[:size, :size]

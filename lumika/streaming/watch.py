@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumika.operators.ingest import needs_index
-from lumika.operators.people import THRESHOLD, assign
+from lumika.operators.people import THRESHOLD, Centroids
+from lumika.session import materialize, release, shared_root
 
 GAP = "5 seconds"
 
@@ -51,14 +53,40 @@ def stream_clusters(faces: DataFrame, group: str, dim: int, threshold: float = T
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names, flat, next_id = state.get if state.exists else ([], [], 1)
-        centroids = dict(zip(map(int, names), np.array(flat, np.float64).reshape(-1, dim)))
+        held = Centroids(dim, list(map(int, names)), np.array(flat, np.float64).reshape(-1, dim), next_id, threshold)
         frame = pd.concat(list(frames)).sort_values("face_id")
-        out = []
-        for vector in frame["embedding"]:
-            cluster, next_id = assign(np.asarray(vector, np.float64), centroids, next_id, threshold)
-            out.append(cluster)
-        state.update((list(centroids), np.concatenate(list(centroids.values())).tolist() if centroids else [], next_id))
+        out = held.place(np.stack([np.asarray(v, np.float64) for v in frame["embedding"]])) if len(frame) else []
+        state.update((held.names, held.rows.ravel().tolist(), held.next_id))
         yield pd.DataFrame({group: key[0], "face_id": frame["face_id"].to_numpy(), "cluster": out})
 
     usable = faces.where(F.col("embedding").isNotNull() & F.col("face_id").isNotNull()).select(group, "face_id", "embedding")
     return usable.groupBy(group).applyInPandasWithState(run, f"`{group}` {kind}, face_id long, cluster long", state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+PROGRESS = "id string, name string, batch long, at string, rows long, rows_per_second double, state_rows long"
+
+
+def progress(query: StreamingQuery) -> DataFrame:
+    """(id, name, batch, at, rows, rows_per_second, state_rows): what a stream has reported of its latest batches, for a change feed."""
+    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
+    rows = []
+    for p in query.recentProgress:
+        state = sum(s["numRowsTotal"] for s in p["stateOperators"])
+        rows.append((str(p["id"]), p["name"], p["batchId"], p["timestamp"], p["numInputRows"], float(p["processedRowsPerSecond"] or 0.0), state))
+    return spark.createDataFrame(rows, PROGRESS)
+
+
+def drain(stream: DataFrame, key: str, mode: str = "complete") -> DataFrame:
+    """What an aggregating stream has found once it has read all there is, as a table in the shared folder."""
+    spark, last = stream.sparkSession, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # in complete mode each batch holds the whole result, so the latest stands for all
+        release(*last)
+        last[:] = [materialize(batch)]
+
+    if mode != "complete":
+        raise ValueError("only a complete result can be drained")
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{shared_root(spark)}/streams/{key}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return last[0] if last else spark.createDataFrame([], stream.schema)

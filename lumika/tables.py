@@ -15,7 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def distinct_by(df: DataFrame, key: str) -> DataFrame:
     """One row per `key`. Repeated rows are whole-row copies, so any of them will do.
 
-    Wide rows are shuffled only if a key really occurs twice; finding that out moves nothing but keys.
+    For rows that are wide whatever is asked of them, such as whole texts: they are shuffled only if a key really occurs
+    twice, which one job finds out when the query is built, moving nothing but keys. Elsewhere `dropDuplicates` after the
+    filter and on the columns asked for is better.
     """
     if df.groupBy(key).count().where(F.col("count") > 1).limit(1).count() == 0:
         return df

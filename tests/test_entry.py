@@ -42,7 +42,7 @@ def test_the_flagship_query(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("p") or not n[1].isdigit()])
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n == "p7_found" or not n.startswith("p") or not n[1].isdigit()])
 def test_query_agrees_with_its_sql(spark, small, duck, name):
     got = entry.queries()[name](spark, small)
     rows = sorted(repr([value(r[c]) for c in sorted(got.columns)]) for r in got.collect())
