@@ -167,14 +167,17 @@ class Centroids:
 _CHUNK = 256
 
 
-def online_clusters(faces: DataFrame, group: str, threshold: float = THRESHOLD, first_id: int = 1, dim: int = 512) -> DataFrame:
+def online_clusters(faces: DataFrame, group: str, threshold: float = THRESHOLD, first_id: int = 1, dim: int | None = None) -> DataFrame:
     """(group, face_id, cluster): sequential clustering in order of face_id within each `group`.
 
     `faces(group, face_id, embedding)`. The result depends on the order, so each group is one task, through which its
     faces stream in batches; what the task holds is one batch and the centroids. Groups such as scan roots run side by
     side. The order-free alternative over all faces is a threshold graph with its components. Null, short, long, zero and
-    non-finite vectors are left out, repeated faces count once.
+    non-finite vectors are left out, repeated faces count once. Without `dim` vectors have the length that most of them have.
     """
+    if dim is None:
+        most = faces.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        dim = most["n"] if most else 1
     kind = faces.schema[group].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

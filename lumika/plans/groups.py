@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumika.operators import collections, dupes, people
 from lumika.plans.catalog import _P, _SHOWN, ASKED, SQL as CATALOG_SQL, concepts, photos, vectors
-from lumika.tables import table, usable_phash
+from lumika.tables import FACE_DIM, table, usable_phash
 
 NOW = "2026-01-01T00:00:00Z"
 
@@ -86,12 +86,12 @@ def online_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential clustering of the faces of each photo's scan root, which are fixed in number."""
     where = faces(spark, sf_dir).join(photos(spark, sf_dir).select(F.col("id").alias("photo_id"), F.regexp_extract("path", r"^/[^/]+/[^/]+", 0).alias("root")), "photo_id")
     rows = table(spark, sf_dir, "face_embedding").join(where.select(F.col("id").alias("face_id"), "root"), "face_id")
-    return people.online_clusters(rows, "root")
+    return people.online_clusters(rows, "root", dim=FACE_DIM)
 
 
 def index_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the faces that have none, from the recorded clusters' means on."""
-    return people.index_faces(faces(spark, sf_dir), table(spark, sf_dir, "face_embedding"), 512)
+    return people.index_faces(faces(spark, sf_dir), table(spark, sf_dir, "face_embedding"), FACE_DIM)
 
 
 def _collection(query: dict, *columns: str):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumika.functions.vectors import unit
 from lumika.operators.ingest import needs_index
 from lumika.operators.people import THRESHOLD, Centroids
 from lumika.session import materialize, release, shared_root
@@ -55,11 +56,13 @@ def stream_clusters(faces: DataFrame, group: str, dim: int, threshold: float = T
         names, flat, next_id = state.get if state.exists else ([], [], 1)
         held = Centroids(dim, list(map(int, names)), np.array(flat, np.float64).reshape(-1, dim), next_id, threshold)
         frame = pd.concat(list(frames)).sort_values("face_id")
-        out = held.place(np.stack([np.asarray(v, np.float64) for v in frame["embedding"]])) if len(frame) else []
+        out = held.place(unit(np.stack([np.asarray(v, np.float64) for v in frame["embedding"]]))) if len(frame) else []
         state.update((held.names, held.rows.ravel().tolist(), held.next_id))
         yield pd.DataFrame({group: key[0], "face_id": frame["face_id"].to_numpy(), "cluster": out})
 
-    usable = faces.where(F.col("embedding").isNotNull() & F.col("face_id").isNotNull()).select(group, "face_id", "embedding")
+    odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    fine = (F.size("embedding") == dim) & ~F.exists("embedding", odd) & F.exists("embedding", lambda v: v != 0)
+    usable = faces.where(F.col("face_id").isNotNull() & fine).select(group, "face_id", "embedding")
     return usable.groupBy(group).applyInPandasWithState(run, f"`{group}` {kind}, face_id long, cluster long", state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
