@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumika.operators.instants import capture_instants
 from lumika.operators.joins import split_join
+from lumika.plans.timeline import SQL as INSTANTS
 from lumika.session import Scratch, materialize
 from lumika.tables import FACE_DIM, PHOTO_DIM, distinct_by, photo_hashes, table, usable_phash
 
@@ -174,7 +175,27 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_truth": p2_truth, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p4_classes": p4_classes, "p5_found": p5_found, "p6_found": p6_found, "p6_classes": p6_classes, "p8_ids": p8_ids, "p9_found": p9_found, "p9_coverage": p9_coverage, "p10_found": p10_found}
 _HASHES = "h as (select distinct id, ('0x' || trim(phash, ' ' || chr(9) || chr(10) || chr(13)))::ubigint as h from photo where regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '[0-9a-fA-F]{16}') and not regexp_full_match(trim(phash, ' ' || chr(9) || chr(10) || chr(13)), '0{16}'))"
+_USABLE = "embedding is not null and len(embedding) = {dim} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_FACES = f"v as (select face_id as id, any_value(embedding::double[]) as e from face_embedding where face_id in (select id from face_detection) and {_USABLE.format(dim=FACE_DIM)} group by 1)"
+_PHOTOS = f"v as (select photo_id as id, any_value(embedding::double[]) as e from photo_embedding where photo_id in (select id from photo) and {_USABLE.format(dim=PHOTO_DIM)} group by 1)"
+
+
+def _nearest(kind: str, vectors: str) -> str:
+    return f"""select '{kind}' as kind, id_a, id_b from (with {vectors}, s as (select a.id as i, b.id as j, round(list_cosine_similarity(a.e, b.e), 9) as s from v a join v b on a.id <> b.id),
+        r as (select i, j, row_number() over (partition by i order by s desc, j) as rn from s where s >= 0.6) select distinct least(i, j) as id_a, greatest(i, j) as id_b from r where rn <= 5)"""
+
+
+def _best(field: str, condition: str, order: str) -> str:
+    return f"select '{field}' as field_name, h, id, row_number() over (partition by h order by {order}, id) as rn from c where {condition}"
+
+
 SQL = {
+    "p2_found": f"""
+        with {_HASHES}, g as (select h, min(id) as group_id from h group by h having count(*) > 1), t as ({INSTANTS["p7_found"]}),
+        c as (select distinct h.id, h.h, size_bytes, width, aesthetic, try_cast(indexed_at as timestamptz) as indexed, t.captured_utc from h join photo p on p.id = h.id left join t on t.photo_id = h.id),
+        b as ({_best("size_bytes", "size_bytes > 0", "size_bytes desc")} union all {_best("width", "width > 0", "width desc")}
+            union all {_best("aesthetic", "aesthetic between 1 and 10", "indexed desc nulls last")} union all {_best("captured_at", "captured_utc is not null", "captured_utc")})
+        select g.group_id, b.field_name, b.id as photo_id from b join g on g.h = b.h where rn = 1""",
     "p3_found": f"""
         with recursive {_HASHES},
         e as (select distinct a.id as x, b.id as y from photo_match m join h a on a.id = m.photo_id_a join h b on b.id = m.photo_id_b
@@ -196,3 +217,11 @@ SQL = {
         h as (select doc_id, array_to_string(w[k:k + 11], ' ') as gram from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12))
         select distinct h.doc_id, g.item_id from h join g on g.gram = h.gram""",
 }
+#: Brute force of the approximate searches, for tests that measure recall.
+BRUTE = {
+    "p1_found": f"""
+        with recursive {_FACES}, g as (select a.id as x, b.id as y from v a join v b on a.id <> b.id and list_cosine_similarity(a.e, b.e) >= 0.6),
+        r as (select x as id, x as reached from g union select r.id, g.y from r join g on g.x = r.reached)
+        select id as face_id, min(reached) as group_id from r group by id""",
+    "p5_found": f"{_nearest('photo', _PHOTOS)} union all {_nearest('face', _FACES)}",
+}
