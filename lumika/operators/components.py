@@ -86,15 +86,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
 
     Each round every node takes the smallest label among its neighbours, pointer jumping flattens the resulting trees,
     and the edges are rewritten to the trees' roots; this goes on until no label changes, which takes a number of
-    rounds logarithmic in the number of nodes whatever the diameter. Every round ends in a written table. Before a
-    shuffle each task contracts its own edges, `chunk` at a time. Nodes, parents and labels with more than `hot` rows
+    rounds logarithmic in the number of nodes whatever the diameter. Every round ends in a written table. Before and
+    after a shuffle each task contracts its own edges, `chunk` at a time. Nodes, parents and labels with more than `hot` rows
     are split in every join.
 
     Nulls, self-loops and repeated edges are ignored; an empty input gives an empty result.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     pairs = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), (a.isNotNull() & b.isNotNull() & (a != b)).alias("ok"))
-    live = materialize(_contracted(pairs.where("ok"), chunk).distinct())
+    live = materialize(_contracted(_contracted(pairs.where("ok"), chunk).distinct(), chunk))
     labels = None
     while (rows := live.count()) > 0:
         parents = _jump(materialize(live.groupBy("hi").agg(F.min("lo").alias("parent")).select(F.col("hi").alias("node"), "parent")), hot)
@@ -103,7 +103,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
             joined = split_join(live if end == "hi" else ends, up, end, "left", rows, hot)
             ends = joined.withColumn(end, F.coalesce("up", end)).drop("up")
         ends = ends.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))
-        after = materialize(_contracted(ends.distinct(), chunk).distinct())
+        after = materialize(_contracted(ends.distinct(), chunk))
         new = _composed(live, labels, parents, hot)
         release(live, labels, parents)
         live, labels = after, new
