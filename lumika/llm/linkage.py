@@ -299,6 +299,10 @@ def link(photo: DataFrame, files: DataFrame) -> DataFrame:
     """
     with Scratch() as made:
         evidence, other = made.keep(photo_evidence(photo)), made.keep(file_evidence(files))
-        scored = fit_and_score(made.keep(candidate_pairs(evidence, other)))
+        # each round reads the pairs in the order of its windows; what is lost of them comes again from the written table
+        pairs = made.keep(candidate_pairs(evidence, other)).repartition("file_id").sortWithinPartitions("file_id", "picture").persist()
+        scored = fit_and_score(pairs)
         best = scored.where("posterior >= 0.5").groupBy("file_id").agg(F.max(F.struct("posterior", (-F.col("photo_id")).alias("p"))).alias("b"))
-        return materialize(best.select((-F.col("b.p")).alias("photo_id"), "file_id", F.col("b.posterior").alias("posterior")))
+        found = materialize(best.select((-F.col("b.p")).alias("photo_id"), "file_id", F.col("b.posterior").alias("posterior")))
+        pairs.unpersist()
+        return found
