@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumika.operators.components import local_labels
 from lumika.operators.joins import split_join
 from lumika.session import Scratch, materialize, shuffle_width
 
@@ -25,37 +26,45 @@ BLOCKS_A_TASK = 16
 Check = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def spanning_forest(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Indices of a minimum spanning forest of the edges (i, j, d): in each round every tree takes its shortest way out."""
-    if len(i) == 0:
-        return np.zeros(0, np.int64)
-    nodes, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
-    a, b = flat[: len(i)], flat[len(i) :]
-    order = np.argsort(d, kind="stable")
-    rank = np.empty(len(d), np.int64)
-    rank[order] = np.arange(len(d))
-    label, chosen, live = np.arange(len(nodes)), [], np.arange(len(i))
+_NONE = np.iinfo(np.int32).max
+
+
+def spanning_forest(d: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, i, j) of the edges of a minimum spanning forest of each run of distances `d[run, i, j]`; _NONE is no edge.
+
+    With `same` both sides of a run are the same rows and d is symmetric. In each round every tree takes its shortest way
+    out; among equally short ones a few edges too many may be taken.
+    """
+    runs, rows, columns = d.shape
+    left = np.arange(runs * rows).reshape(runs, rows)
+    right = left if same else runs * rows + np.arange(runs * columns).reshape(runs, columns)
+    label = np.arange(runs * rows + (0 if same else runs * columns))
+    found: list[np.ndarray] = []
     while True:
-        la, lb = label[a[live]], label[b[live]]
-        live = live[la != lb]
-        if len(live) == 0:
-            return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
-        la, lb = label[a[live]], label[b[live]]
-        best = np.full(len(nodes), len(d), np.int64)
-        np.minimum.at(best, la, rank[live])
-        np.minimum.at(best, lb, rank[live])
-        picked = order[np.unique(best[best < len(d)])]
-        chosen.append(picked)
-        pa_, pb_ = label[a[picked]], label[b[picked]]
-        parent = np.arange(len(nodes))
-        while True:  # hook the larger root to the smaller one until the picked edges join nothing more
-            x, y = parent[pa_], parent[pb_]
-            if (x == y).all():
-                break
-            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-        label = parent[label]
+        way = np.where(label[left][:, :, None] != label[right][:, None, :], d, _NONE)
+        j = way.argmin(axis=2)
+        run, i = np.divmod(np.arange(runs * rows), rows)
+        best = [np.stack([label[left].ravel(), way.min(axis=2).ravel(), run, i, j.ravel()])]
+        if not same:
+            i = way.argmin(axis=1)
+            run, j = np.divmod(np.arange(runs * columns), columns)
+            best.append(np.stack([label[right].ravel(), way.min(axis=1).ravel(), run, i.ravel(), j]))
+        ways = np.concatenate(best, axis=1)
+        ways = ways[:, ways[1] < _NONE]
+        if not ways.shape[1]:
+            edges = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+            return edges[0], edges[1], edges[2]
+        ways = ways[:, np.lexsort((ways[4], ways[3], ways[1], ways[0]))]
+        ways = ways[:, np.r_[True, ways[0, 1:] != ways[0, :-1]]]  # each tree's shortest
+        run, i, j = ways[2:]
+        if same:
+            i, j = np.minimum(i, j), np.maximum(i, j)
+        found.append(np.stack([run, i, j]))
+        trees, at = np.unique(np.concatenate([label[left[run, i]], label[right[run, j]]]), return_inverse=True)
+        merged = local_labels(len(trees), at[: len(run)], at[len(run) :])
+        into = np.arange(len(label))
+        into[trees] = trees[merged]
+        label = into[label]
 
 
 def _within(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, pay: np.ndarray, check: Check, forest: bool) -> Iterator[tuple]:
@@ -66,11 +75,19 @@ def _within(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, pay: np.ndar
         for part in np.array_split(first, max(1, len(first) * len(x) // 400_000)):
             i, j = (part[:, None] + x).ravel(), (part[:, None] + y).ravel()
             keep, d = check(ids[i], pay[i], ids[j], pay[j])
-            i, j, d = i[keep], j[keep], d[keep]
-            if forest and len(i):
+            if forest and size > 2:
+                keep, d = keep.reshape(len(part), -1), d.reshape(len(part), -1)
+                some = keep.any(axis=1)
+                if not some.any():
+                    continue
+                way = np.full((int(some.sum()), size, size), _NONE, np.int32)
+                way[:, x, y] = np.where(keep[some], d[some], _NONE)
+                way = np.minimum(way, way.transpose(0, 2, 1))
                 # rows, not ids, are the nodes: one id may lie in many runs
-                t = spanning_forest(i, j, d)
-                i, j, d = i[t], j[t], d[t]
+                run, p, q = spanning_forest(way, True)
+                i, j, d = part[some][run] + p, part[some][run] + q, way[run, p, q]
+            else:
+                i, j, d = i[keep], j[keep], d[keep]
             if len(i):
                 yield ids[i], ids[j], d
 
@@ -83,7 +100,7 @@ def _pairs_batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def bucket_pairs(
     rows: DataFrame, pay: list[str], check: Check, forest: bool, block: int = BLOCK, summary: list[Callable[[Column], Column]] = (), opens: Callable[[list[Column], list[Column]], Column] | None = None,
-    qualify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, meets: Callable[[DataFrame], None] | None = None,
+    qualify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, meets: Callable[[DataFrame], None] | None = None, order: list[str] = (), reach: int | None = None,
 ) -> DataFrame:
     """(a, b, d): pairs of ids, a < b, that share a key and pass `check`, with their distance; a pair may come several times.
 
@@ -94,6 +111,9 @@ def bucket_pairs(
     true of their summaries, each function of which makes a column of a block's ids, and only those rows of the left one
     that `qualify`, of its payloads and the right one's; both must be true wherever a pair could pass. `meets` gets the
     pairs of different blocks, with whether they are opened, before they are sifted.
+
+    For approximate searches `reach` bounds the work of a bucket of any size: rows of one key lie in the order of the
+    payload columns `order`, such as further hashes, and a block meets only the `reach` blocks that follow it.
     """
     spark, width = rows.sparkSession, len(pay)
 
@@ -102,21 +122,24 @@ def bucket_pairs(
         return np.stack(columns, axis=1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "ids", "pays", "a", "b", "d"]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32()]
+        names = ["key", "ids", "pays", "seq", "a", "b", "d"]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
         def emit(found: list[tuple], blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal number
             if blocks:
                 n = len(blocks)
-                cols = [pa.array([x[0] for x in blocks], kinds[0]), pa.array([x[1] for x in blocks], kinds[1]), pa.array([x[2] for x in blocks], kinds[2])]
-                yield pa.record_batch(cols + [pa.nulls(n, k) for k in kinds[3:]], names=names)
+                cols = [pa.array([x[i] for x in blocks], kinds[i]) for i in range(3)] + [pa.array(number + np.arange(n))]
+                number += n
+                yield pa.record_batch(cols + [pa.nulls(n, k) for k in kinds[4:]], names=names)
             if found:
                 p = _pairs_batch(found, ["a", "b", "d"])
-                yield pa.record_batch([pa.nulls(len(p), k) for k in kinds[:3]] + p.columns, names=names)
+                yield pa.record_batch([pa.nulls(len(p), k) for k in kinds[:4]] + p.columns, names=names)
 
         def cut(key: int, ids: np.ndarray, load: np.ndarray) -> list[tuple]:
             return [(int(key), ids[s : s + block], load[s : s + block].view(np.int64).ravel()) for s in range(0, len(ids), block)]
 
+        number = 0
         keys, ids, load = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint64)
         shared: set[int] = set()  # the first key, which another task may hold too, and keys cut into blocks
         for batch in batches:
@@ -156,25 +179,36 @@ def bucket_pairs(
                     continue
                 i, j = np.repeat(own, len(y)), np.tile(np.arange(len(y)), len(own))
                 keep, d = check(x[i], p[i], y[j], q[j])
-                i, j, d = i[keep], j[keep], d[keep]
-                if forest and len(i):
-                    t = spanning_forest(i, j + len(x), d)
-                    i, j, d = i[t], j[t], d[t]
+                if forest and keep.any():
+                    way = np.where(keep, d, _NONE).astype(np.int32).reshape(1, len(own), len(y))
+                    _, i, j = spanning_forest(way, False)
+                    i, d = own[i], way[0, i, j]
+                else:
+                    i, j, d = i[keep], j[keep], d[keep]
                 if len(i):
                     found.append((x[i], y[j], d))
             if found:
                 yield _pairs_batch(found, ["a", "b", "d"])
 
     n = shuffle_width(spark)
-    ordered = rows.select("key", "id", *pay).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
+    ordered = rows.select("key", "id", *pay).repartitionByRange(n, "key", *order, "id").sortWithinPartitions("key", *order, "id")
     with Scratch() as made:
-        out = made.table(ordered.mapInArrow(scan, "key long, ids array<long>, pays array<long>, a long, b long, d int"))
+        scanned = ordered.mapInArrow(scan, "key long, ids array<long>, pays array<long>, seq long, a long, b long, d int")
+        # tasks hold ranges of the order, so a task's number and the block's in it give the block's place
+        out = made.table(scanned.withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 40) + F.col("seq")))
         inside = out.where("a is not null").select("a", "b", "d")
-        blocks = made.table(out.where("key is not null").select("key", F.monotonically_increasing_id().alias("block"), "ids", "pays"))
+        blocks = made.table(out.where("key is not null").select("key", "block", "ids", "pays"))
         notes = [(f"u{i}", f"v{i}") for i in range(len(summary))]
         right = blocks.select("key", F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("pays").alias("pays2"), *[f(F.col("ids")).alias(v) for f, (_, v) in zip(summary, notes)])
         left = blocks.select("*", *[f(F.col("ids")).alias(u) for f, (u, _) in zip(summary, notes)])
-        meet = split_join(left, right, "key", hot=BLOCKS_A_TASK, counted=blocks).where("block <= other")
+        if reach is None:
+            meet = split_join(left, right, "key", hot=BLOCKS_A_TASK, counted=blocks).where("block <= other")
+        else:
+            places = made.table(blocks.select("key", "block").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("block"))))
+            steps = F.explode(F.sequence(F.lit(0), F.lit(reach)))
+            near = places.select("key", "block", "place", steps.alias("step")).select("key", "block", (F.col("place") + F.col("step")).alias("place"))
+            near = near.join(places.select("key", F.col("block").alias("other"), "place"), ["key", "place"]).select("block", "other")
+            meet = near.join(left, "block").join(right.drop("key"), "other")
         same = F.col("block") == F.col("other")
         if opens is not None:
             opened = opens([F.col(u) for u, _ in notes], [F.col(v) for _, v in notes])

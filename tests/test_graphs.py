@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumika.operators import dupes
-from lumika.operators.buckets import bucket_pairs, spanning_forest
+from lumika.operators.buckets import _NONE, bucket_pairs, spanning_forest
 from lumika.operators.components import connected_components
 from lumika.operators.joins import split_join
 
@@ -76,16 +76,36 @@ def test_split_join_bounds_the_rows_of_a_task(spark):
             spark.conf.set(k, v)
 
 
-def test_spanning_forest_keeps_connections_and_prefers_short_edges():
+@pytest.mark.parametrize("same", [True, False])
+def test_spanning_forest_keeps_connections_and_prefers_short_edges(same):
     r = np.random.default_rng(1)
-    i, j = r.integers(0, 60, 300), r.integers(0, 60, 300)
-    keep = i != j
-    i, j, d = i[keep], j[keep], r.integers(0, 50, keep.sum())
-    t = spanning_forest(i, j, d)
-    assert brute(zip(i.tolist(), j.tolist())) == brute(zip(i[t].tolist(), j[t].tolist()))
-    parts = len(set(brute(zip(i.tolist(), j.tolist())).values()))
-    assert len(t) == len(np.unique(np.r_[i, j])) - parts
-    assert len(spanning_forest(i[:0], j[:0], d[:0])) == 0
+    for n, m in ((2, 2), (30, 30), (40, 40)) if same else ((1, 1), (20, 35), (40, 7)):
+        d = np.where(r.random((5, n, m)) < 0.08, r.integers(0, 1000, (5, n, m)), _NONE).astype(np.int32)
+        if same:
+            d = np.minimum(d, d.transpose(0, 2, 1))
+            d[:, np.arange(n), np.arange(n)] = _NONE
+        run, i, j = spanning_forest(d, same)
+        right = 0 if same else n
+        for k in range(5):
+            a, b = np.nonzero(d[k] < _NONE)
+            own = run == k
+            assert (d[k][i[own], j[own]] < _NONE).all()
+            whole, tree = brute(zip(a.tolist(), (b + right).tolist())), brute(zip(i[own].tolist(), (j[own] + right).tolist()))
+            assert whole == tree and own.sum() <= len(whole)  # ties may add a few edges to a forest's
+            for node in {*a.tolist()}:  # the shortest edge of each node is in the forest
+                assert d[k][node].min() in [d[k][p, q] for p, q in zip(i[own], j[own]) if p == node or (same and q == node)]
+    assert len(spanning_forest(np.full((2, 3, 3), _NONE, np.int32), same)[0]) == 0
+
+
+def test_a_bucket_of_bounded_reach(spark):
+    r = random.Random(4)
+    df = spark.createDataFrame([(1 if i % 9 else 2, i, r.getrandbits(40)) for i in range(1500)], "key long, id long, bits long").repartition(6)
+    check = lambda a, x, b, y: (a != b, np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32))
+    found = [(p["a"], p["b"]) for p in bucket_pairs(df, ["bits"], check, True, block=64, order=["bits"], reach=1).collect()]
+    parts = brute(found)
+    assert len(parts) == 1500 and len(set(parts.values())) == 2 and len(found) < 6 * 1500
+    every = bucket_pairs(df, ["bits"], check, False, block=64, order=["bits"], reach=2).count()
+    assert 1500 * 64 < every < 1500 * 64 * 4
 
 
 @pytest.mark.parametrize("forest", [False, True])
