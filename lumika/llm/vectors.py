@@ -5,6 +5,7 @@ The way from a table of vectors to exact similarities, shared by neighbours and
 1. `sketch` reads every vector once and writes a small record: bits that estimate its cosines and the codes that its
    bucket keys are made of. Vectors with other than `dim` finite values, or all zero, end here.
 2. `candidates` puts the records into buckets and keeps, per bucket, a spanning forest of the pairs whose sketches agree.
+   A bucket of more than 512 (1 + REACH) vectors is sorted by their sign bits, and each of its blocks meets the next ones.
 3. `units_of` forms the units in which vectors meet: a connected component of candidates of at most CELL vectors is one
    unit. A larger one is cut: in each of several tables its vectors are sorted by their hash codes, deepest codes last,
    so that vectors of one bucket of whatever depth stand together, and every WINDOW of them is a unit.
@@ -31,8 +32,9 @@ from lumika.operators.joins import split_join
 from lumika.session import Scratch, materialize, release, shuffle_width
 
 SHORT = 4  # 64-bit words of a sketch that travel into the buckets
+REACH = 4  # blocks of a bucket, of 512 vectors in order of their sign bits, that a block meets beside itself
 CELL = 8192
-WINDOW = 1024
+WINDOW = 4096
 SPREAD = 6  # tables in which a component beyond CELL is sorted
 DEPTH = 8  # codes by which it is sorted
 FILTER_BITS = 26
@@ -129,7 +131,7 @@ def candidates(sketches: DataFrame, keys: Callable[[np.ndarray], np.ndarray], li
                 yield pa.record_batch([pa.array(c[at : at + 50_000]) for c in columns], names=["key", "id", *pay])
 
     rows = sketches.select("id", *pay, "codes").mapInArrow(expand, "key long, id long, " + ", ".join(f"{p} long" for p in pay))
-    found = bucket_pairs(rows, pay, near_bits(limit), forest=True)
+    found = bucket_pairs(rows, pay, near_bits(limit), forest=True, order=pay[:1], reach=REACH)
     distinct = materialize(found.select("a", "b").distinct())
     release(found)
     return distinct
