@@ -58,9 +58,11 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _delete(path: str) -> None:
-    jvm = SparkContext._jvm
+    jvm, context = SparkContext._jvm, SparkContext._active_spark_context
+    live = context is not None and context._jsc is not None
+    settings = context._jsc.hadoopConfiguration() if live else jvm.org.apache.hadoop.conf.Configuration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    target.getFileSystem(settings).delete(target, True)
 
 
 def _forget_tables() -> None:

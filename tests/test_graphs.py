@@ -191,3 +191,16 @@ def test_pairs_of_hashes_are_all_pairs(spark):
     assert sorted(got) == sorted(want)
     links = dupes.hash_links(spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "h long"), 5)
     assert links.count() < len(want)
+
+
+def test_an_operator_leaves_only_its_result(spark):
+    import glob
+
+    from lumika.session import _table_root, release
+
+    root = _table_root(spark).removeprefix("file://")
+    before = set(glob.glob(f"{root}/*"))
+    found = dupes.memberships(hashes(spark, ["a" * 16, "a" * 15 + "b", "c" * 16]), 5)
+    assert found.count() == 2 and len(set(glob.glob(f"{root}/*")) - before) == 1
+    release(found)
+    assert set(glob.glob(f"{root}/*")) == before
