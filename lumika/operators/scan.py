@@ -51,6 +51,12 @@ def replace_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("photo_id", "embedding").join(new.select("photo_id"), "photo_id", "left_anti").unionByName(new.select("photo_id", "embedding"))
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """`rows` for a join by sort and merge. Written tables are planned by the size of their files, and of vectors or paths
+    that repeat these are a hundredth of the rows; a join that broadcast them for that would bring all of them to the driver."""
+    return rows.hint("merge")
+
+
 def scan(files: DataFrame, photo: DataFrame, vectors: DataFrame, load: Callable[[], Encode], at: str, decoders: dict = DECODERS) -> Outcome:
     """Bring new and changed files into the catalog: predicate, encoding, EXIF, hash, palette, fingerprint, upserts, counters.
 
@@ -60,18 +66,18 @@ def scan(files: DataFrame, photo: DataFrame, vectors: DataFrame, load: Callable[
     """
     with Scratch() as made:
         todo = made.table(needs_index(files.select("path", "mtime", "size_bytes"), photo).dropDuplicates(["path"]))
-        chosen = files.join(todo.select("path"), "path", "left_semi")
+        chosen = files.join(_shuffled(todo.select("path")), "path", "left_semi")
         features = made.table(picture_features(chosen, decoders).dropDuplicates(["path"]), arrow_rows=256)
         encoded = made.table(encode_files(chosen, load).dropDuplicates(["path"]), arrow_rows=256)
         prints = fingerprints(chosen).select("path", "sha256").dropDuplicates(["path"])
-        rows = made.table(todo.join(features, "path").join(encoded, "path").join(prints, "path"))
+        rows = made.table(todo.join(_shuffled(features), "path").join(_shuffled(encoded), "path").join(_shuffled(prints), "path"))
         reason = F.when(F.col("embedding").isNull(), F.coalesce("error", F.lit("not encoded"))).otherwise(F.col("error"))
         errors = materialize(rows.where(reason.isNotNull()).select("path", reason.alias("error")))
         good = rows.where(reason.isNull())
         known = photo.where("path is not null").select("path", "id")
-        fresh = made.keep(materialize(numbered(good.join(known, "path", "left_anti").select("path"), "path", next_id(photo)))).select("path", "id")
-        ids = known.join(good.select("path"), "path", "left_semi").dropDuplicates(["path"]).unionByName(fresh.select("path", "id"))
-        good = made.table(good.join(ids, "path"))
+        fresh = made.keep(materialize(numbered(good.join(_shuffled(known), "path", "left_anti").select("path"), "path", next_id(photo)))).select("path", "id")
+        ids = known.join(_shuffled(good.select("path")), "path", "left_semi").dropDuplicates(["path"]).unionByName(fresh.select("path", "id"))
+        good = made.table(good.join(_shuffled(ids), "path"))
         new = good.select(
             "path", "id", "mtime", "size_bytes", "sha256", "width", "height", "orientation", "exif_json", exif_captured(F.col("exif_json")).alias("captured_at"),
             F.lit(at).alias("indexed_at"), F.lit(VERSION).alias("embedding_ver"), "phash", "dominant_colors",

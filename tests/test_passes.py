@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumika import session
 from lumika.operators import color, ingest, listing, people, scan, search, sidecar
 from lumika.plans import catalog
 from lumika.sources import pictures
@@ -116,6 +117,21 @@ def test_a_scan_and_the_next_one(spark):
     assert tuple(none.summary.first()) == (0, 0, 0, 0) and none.photo.count() == 0
 
 
+def test_a_scan_brings_no_file_s_features_to_the_driver(spark, monkeypatch):
+    """Features that repeat are small as files; their joins must not be planned as broadcasts for that."""
+    plans, write = [], session.materialize
+
+    def spy(df, arrow_rows=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, arrow_rows)
+
+    monkeypatch.setattr(session, "materialize", spy)
+    files = files_of(spark, [(f"/r/{k}.png", k, png(picture(k), 0)) for k in range(4)])
+    scan.scan(files, catalog_of(spark), spark.createDataFrame([], "photo_id long, embedding array<float>"), encoder, "t")
+    joined = [p for p in plans if "Join" in p and "embedding" in p]
+    assert len(joined) >= 2 and not any("Broadcast" in p for p in joined)
+
+
 def test_backfills_write_and_mark_failures(spark):
     photo = catalog_of(spark, *[{"id": k, "path": f"/r/{k}.png", "dominant_colors": "[]" if k == 5 else None, "embedding_ver": 1 if k < 3 else None} for k in range(1, 7)])
     files = files_of(spark, [(f"/r/{k}.png", 1, png(picture(k), 0) if k != 2 else b"bad") for k in range(1, 5)])
