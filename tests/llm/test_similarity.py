@@ -12,7 +12,7 @@ from lumika.llm.bpe import PairTable
 from lumika.llm.face_groups import face_clusters, face_groups
 from lumika.llm.matches import match_groups
 from lumika.llm.neighbours import neighbour_pairs
-from lumika.llm.vectors import _sorted_windows, units_of
+from lumika.llm.vectors import _sorted_windows, candidates, units_of
 
 DIM = 512
 VECTORS = "face_id long, embedding array<float>, id string, cell int"
@@ -156,6 +156,17 @@ def test_neighbours_in_a_cut_component(spark, monkeypatch):
     assert all(s[a // 3, b // 3] >= 0.6 - 1e-6 for a, b in got) and len(got & want) >= 0.3 * len(want)
 
 
+def test_each_two_of_a_large_bucket_are_compared(spark):
+    """Twins whose sketches are far apart in the order of the bucket's rows, which holds many blocks."""
+    n, full = 4000, np.random.default_rng(8).integers(0, 2, (4000, 256)).astype(np.uint8)
+    full[n // 2 :] = full[: n // 2]
+    full[n // 2 :, 63] ^= 1  # the highest bit of the first word
+    words = np.packbits(full, axis=1, bitorder="little").view(np.int64)
+    sketches = spark.createDataFrame([(i, *map(int, w), [0]) for i, w in enumerate(words)], "id long, s0 long, s1 long, s2 long, s3 long, codes array<smallint>")
+    got = {(r["a"], r["b"]) for r in candidates(sketches, lambda codes: codes[:, :1], 20).collect()}
+    assert got == {(i, i + n // 2) for i in range(n // 2)}
+
+
 def test_neighbours_of_exact_copies_are_the_smallest_ids(spark):
     x = np.concatenate([clustered(4, 5, 2, 3, 0.3), np.repeat(clustered(5, 1, 1, 1, 0.1), 30, axis=0)])
     vectors, known = frame(spark, x, odd=False)
