@@ -156,9 +156,18 @@ def test_neighbours_in_a_cut_component(spark, monkeypatch):
     assert all(s[a // 3, b // 3] >= 0.6 - 1e-6 for a, b in got) and len(got & want) >= 0.3 * len(want)
 
 
+def test_neighbours_and_groups_of_a_cut_component_lose_nothing(spark, monkeypatch):
+    """One dense group beyond a cell's size: all of its neighbours, as in one unit."""
+    x = clustered(13, 1, 900, 900, 0.5)
+    vectors, known = frame(spark, x, odd=False)
+    monkeypatch.setattr(neighbours, "units_of", lambda edges, sketches: units_of(edges, sketches, 100, 64, 6))
+    got = {(r["a"], r["b"]) for r in neighbour_pairs(vectors, "face_id", known, DIM).collect()}
+    assert got == brute_pairs(x)
+
+
 def test_each_two_of_a_large_bucket_are_compared(spark):
     """Twins whose sketches are far apart in the order of the bucket's rows, which holds many blocks."""
-    n, full = 4000, np.random.default_rng(8).integers(0, 2, (4000, 256)).astype(np.uint8)
+    n, full = 6000, np.random.default_rng(8).integers(0, 2, (6000, 256)).astype(np.uint8)
     full[n // 2 :] = full[: n // 2]
     full[n // 2 :, 63] ^= 1  # the highest bit of the first word
     words = np.packbits(full, axis=1, bitorder="little").view(np.int64)
