@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumika.llm import all_pairs, neighbours
 from lumika.llm import near_hashes as nh
-from lumika.llm import neighbours
 from lumika.llm.bpe import PairTable
 from lumika.llm.face_groups import face_clusters, face_groups
 from lumika.llm.matches import match_groups
@@ -165,6 +165,21 @@ def test_neighbours_and_groups_of_a_cut_component_lose_nothing(spark, monkeypatc
     assert got == brute_pairs(x)
 
 
+@pytest.mark.parametrize("block, tile, dense", [(4096, 1024, 64), (150, 64, 64), (150, 64, 10**6)])
+def test_neighbours_are_exactly_those_of_brute_force(spark, monkeypatch, block, tile, dense):
+    """Isolated pairs near the limit, which hardly share a bucket, a dense group, and copies of a vector at several lengths."""
+    r = np.random.default_rng(21)
+    base, other = (np.linalg.qr(r.standard_normal((DIM, 480)))[0].T.reshape(2, 240, DIM))
+    c = r.uniform(0.601, 0.7, (240, 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * other, clustered(14, 1, 200, 200, 0.2), np.repeat(base[:1], 30, axis=0) * r.integers(1, 4, (30, 1))])
+    vectors, known = frame(spark, x.astype(np.float32))
+    monkeypatch.setattr(all_pairs, "TILE", tile)
+    monkeypatch.setattr(all_pairs, "DENSE", dense)
+    monkeypatch.setattr(neighbours, "all_partners", lambda *args: all_pairs.all_partners(*args, block=block))
+    got = [(p["a"], p["b"]) for p in neighbour_pairs(vectors, "face_id", known, DIM).collect()]
+    assert set(got) == brute_pairs(x.astype(np.float32)) and len(got) == len(set(got))
+
+
 def test_each_two_of_a_large_bucket_are_compared(spark):
     """Twins whose sketches are far apart in the order of the bucket's rows, which holds many blocks."""
     n, full = 6000, np.random.default_rng(8).integers(0, 2, (6000, 256)).astype(np.uint8)
