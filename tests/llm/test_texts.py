@@ -151,6 +151,21 @@ def test_a_document_of_numbers_gets_the_mean_level(spark, monkeypatch, limit):
     assert len(rows) == 31 and {r["doc_id"]: r["reading_level"] for r in rows} == {**truth, 500: "general"}
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 5])
+def test_grades_reach_documents_many_words_away(spark, monkeypatch, limit):
+    """A chain of documents each of which shares words with the next one only, and is graded at one end, beside many others."""
+    monkeypatch.setattr(reading, "BROADCAST_WORDS", limit)
+    docs, truth = corpus(60)
+    letters = "abcdefghijklmnop"
+    links = [" ".join(f"q{letters[i]}{x}z" for x in letters[:15]) + "." for i in range(13)]
+    chain = [(500 + i, f"{links[i]} {links[i + 1]}", "x") for i in range(12)]
+    alone = [(600, " ".join(f"y{x}{y}" for x in letters for y in "abc") + ".", "x")]
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(60)] + [(500, "expert")], "doc_id long, reading_level string")
+    rows = reading.reading_levels(spark.createDataFrame([*docs, *chain, *alone], "doc_id long, text string, x string"), labels).collect()
+    got = {r["doc_id"]: r["reading_level"] for r in rows}
+    assert got == {**truth, **{d: "expert" for d, *_ in chain}, 600: "general"}
+
+
 def test_reading_without_labels_or_documents(spark):
     docs, _ = corpus(6)
     none = spark.createDataFrame([], "doc_id long, reading_level string")
