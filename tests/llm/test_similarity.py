@@ -180,6 +180,31 @@ def test_neighbours_are_exactly_those_of_brute_force(spark, monkeypatch, block,
     assert set(got) == brute_pairs(x.astype(np.float32)) and len(got) == len(set(got))
 
 
+def test_vectors_of_topics_meet_along_few_axes_and_nothing_is_lost():
+    """Unlike topics are told apart by fewer axes than 192; of coordinates in a random order 272 of 512 had to lead."""
+    r = np.random.default_rng(22)
+    centres = r.standard_normal((40, DIM))
+    x = centres[r.integers(0, 40, 5000)] * 0.8 + r.standard_normal((5000, DIM))
+    x[2500:2560] = x[:60] + 0.8 * r.standard_normal((60, DIM))  # similar ones
+    x = x.astype(np.float32)
+    axes = all_pairs.Axes(x[1000:], DIM, 0.6)
+    assert axes.axes.shape[1] < 192
+    x, blocks = x[:3000], []
+    for at in range(0, 3000, 600):
+        own = x[at : at + 600]
+        cells = axes.cells(axes.along(own))
+        order = np.argsort(cells, kind="stable")
+        inverse = (1 / np.linalg.norm(own[order], axis=1)).astype(np.float32)
+        blocks.append(all_pairs.Block(at + order, np.full(600, 0.6), cells[order], inverse, own[order].tobytes(), axes))
+    right = all_pairs.Block.merged(blocks)
+    found = [all_pairs.compare(b, b, True, 600, 0.6) for b in blocks]
+    found += [all_pairs.compare(b, right.take(np.flatnonzero(right.source > i)), False, 3000, 0.6) for i, b in enumerate(blocks[:-1])]
+    got = {(a, b) for ids, others, _ in found for a, b in zip(ids.tolist(), others.tolist())}
+    s = np.round(cosines(x), 9)
+    np.fill_diagonal(s, -2)
+    assert len(got) > 100 and got == set(zip(*(v.tolist() for v in np.nonzero(s >= 0.6))))
+
+
 def test_each_two_of_a_large_bucket_are_compared(spark):
     """Twins whose sketches are far apart in the order of the bucket's rows, which holds many blocks."""
     n, full = 6000, np.random.default_rng(8).integers(0, 2, (6000, 256)).astype(np.uint8)
